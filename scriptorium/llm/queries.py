@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import cross_split, repeated_lines, shared_spans
+from scriptorium.llm import cross_split, grouped_splits, repeated_lines, shared_spans
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(_t(spark, folder, "documents"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_splits.tied_pairs(_t(spark, folder, "doc_records"), _t(spark, folder, "forename_forms"))
+
+
+def p2_splits(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_splits.grouped_splits(_t(spark, folder, "doc_records"), _t(spark, folder, "forename_forms"))
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped_splits.split_report(p2_splits(spark, folder))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split.overlapping_pairs(_t(spark, folder, "split_members"), _t(spark, folder, "doc_records"), _t(spark, folder, "documents"))
 
@@ -41,4 +53,4 @@ def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_share(_t(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p3_found, p3_report, p7_found, p7_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_splits, p2_report, p3_found, p3_report, p7_found, p7_shared)}
