@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import cross_split, grouped_splits, repeated_lines, shared_spans
+from scriptorium.llm import cross_split, grouped_splits, languages, mixing, packing, repeated_lines, shared_spans
 
 
 def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,6 +45,30 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split.overlap_report(_t(spark, folder, "split_members"), _t(spark, folder, "doc_records"), _t(spark, folder, "documents"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.language_cases(_t(spark, folder, "documents"))
+
+
+def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.languages(_t(spark, folder, "documents"))
+
+
+def p5_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_t(spark, folder, "documents"), _t(spark, folder, "containers"))
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p5_packed(spark, folder))
+
+
+def p6_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.sharing_pairs(_t(spark, folder, "documents"))
 
@@ -53,4 +77,4 @@ def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_share(_t(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_splits, p2_report, p3_found, p3_report, p7_found, p7_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_splits, p2_report, p3_found, p3_report, p4_found, p4_languages, p5_packed, p5_report, p6_mixed, p6_report, p7_found, p7_shared)}
