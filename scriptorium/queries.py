@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.operators import forensics
+from scriptorium.operators import corpus, forensics, judging, resampling
 from scriptorium.plans.portable import DUCK, SPARK, TABLES, run, with_relations
 from scriptorium.plans.relations import RELATIONS
 
-STATEMENTS = {**forensics.OPS}
+STATEMENTS = {**corpus.OPS, **forensics.OPS, **judging.OPS, **resampling.OPS}
 
 
 def operator(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
