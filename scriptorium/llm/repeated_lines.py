@@ -12,8 +12,9 @@ Lines are equal if their sequences of letter runs and digit runs agree, ignoring
 and taking every digit run as the same.
 
 Defined results: null or empty text has no lines; documents with null ``source`` belong
-to no source and have no repeated lines; repeated document rows count once per
-``doc_id``; extra columns are ignored; an empty table gives an empty result.
+to no source and have no repeated lines; ``doc_id`` is taken as unique, so a repeated row
+counts as a document, but its lines are reported once; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
