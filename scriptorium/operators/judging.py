@@ -52,11 +52,11 @@ OPS = {
     "op164_curve_verdict": lambda d: """WITH m AS (SELECT instance, window_len, avg(total_per_all_symbols) AS bits FROM cells GROUP BY instance, window_len), i AS (SELECT window_len, bits - lag(bits) OVER (PARTITION BY instance ORDER BY window_len) AS inc FROM m)
         SELECT window_len, count(inc) AS n, round(avg(inc), 6) AS mean_inc, avg(inc) > -2 * stddev_samp(inc) / sqrt(CAST(count(inc) AS DOUBLE)) AS monotone FROM i WHERE inc IS NOT NULL GROUP BY window_len HAVING count(inc) > 1""",
     "op184_margin_uncertainty": lambda d: "SELECT a.lang AS lang_a, b.lang AS lang_b, round(abs(a.off - b.off), 6) AS report_only, round(sqrt(a.sem * a.sem + b.sem * b.sem), 6) AS applied FROM (SELECT * FROM (VALUES ('latin', 0.1e0, 0.02e0), ('italian', -0.05e0, 0.01e0), ('german', 0.2e0, 0.03e0)) AS v(lang, off, sem)) a JOIN (SELECT * FROM (VALUES ('latin', 0.1e0, 0.02e0), ('italian', -0.05e0, 0.01e0), ('german', 0.2e0, 0.03e0)) AS v(lang, off, sem)) b ON a.lang < b.lang",
-    "op186_masked_bits": lambda d: f"""WITH k AS (SELECT doc_id, lang, pos, g, strat, greatest((strat + {d.u("'t'", 'CAST(doc_id AS STRING)', 'CAST(strat AS STRING)')}) / 4e0, 0.001e0) AS t FROM (SELECT doc_id, lang, substr(s, 1, 200) AS s FROM parted WHERE part = 'heldout' AND length(s) >= 200) p{d.grams('s', 1, 'pos', 'g')}{d.each('strat', '0', '3') if d.name == 'spark' else d.each('strat', '0', '3')}),
+    "op186_masked_bits": lambda d: f"""WITH k AS (SELECT doc_id, lang, len, pos, g, strat, greatest((strat + {d.u("'t'", 'CAST(doc_id AS STRING)', 'CAST(strat AS STRING)')}) / 4e0, 0.001e0) AS t FROM (SELECT doc_id, lang, s, CAST(length(s) AS DOUBLE) AS len FROM parted WHERE part = 'heldout') p{d.grams('s', 1, 'pos', 'g')}{d.each('strat', '0', '3')}),
         m AS (SELECT k.*, {d.u("'m'", 'CAST(doc_id AS STRING)', 'CAST(strat AS STRING)', 'CAST(pos AS STRING)')} < t AS masked FROM k)
-        SELECT m.doc_id, round(sum(-log2(w1.p) / t) / (4 * 200e0), 6) AS bits, count(*) AS masked FROM m JOIN w1 ON w1.lang = m.lang AND w1.g = m.g WHERE masked GROUP BY m.doc_id""",
-    "op187_masking": lambda d: f"SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE {d.u(chr(39) + 'k' + chr(39), 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} < 0.3e0) AS masked FROM (SELECT doc_id, substr(s, 1, 400) AS s FROM plain WHERE length(s) >= 400) p{d.grams('s', 1, 'pos', 'g')} GROUP BY doc_id",
-    "op188_common_masks": lambda d: f"""WITH m AS (SELECT doc_id, pos, g FROM (SELECT doc_id, substr(s, 1, 200) AS s FROM parted WHERE part = 'heldout' AND length(s) >= 200) p{d.grams('s', 1, 'pos', 'g')} WHERE {d.u("'c'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} < 0.5e0)
+        SELECT m.doc_id, round(sum(-log2(w1.p) / t) / (4 * max(len)), 5) AS bits, count(*) AS masked FROM m JOIN w1 ON w1.lang = m.lang AND w1.g = m.g WHERE masked GROUP BY m.doc_id""",
+    "op187_masking": lambda d: f"SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE {d.u(chr(39) + 'k' + chr(39), 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} < 0.3e0) AS masked FROM plain p{d.grams('s', 1, 'pos', 'g')} GROUP BY doc_id",
+    "op188_common_masks": lambda d: f"""WITH m AS (SELECT doc_id, pos, g FROM (SELECT doc_id, s FROM parted WHERE part = 'heldout') p{d.grams('s', 1, 'pos', 'g')} WHERE {d.u("'c'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} < 0.5e0)
         SELECT m.doc_id, l.lang, round(sum(-log2(coalesce(w1.p, 1e-6))) / count(*), 6) AS bits FROM m CROSS JOIN langs l LEFT JOIN w1 ON w1.lang = l.lang AND w1.g = m.g GROUP BY m.doc_id, l.lang""",
     "op180_variance_ratio": lambda d: """WITH p AS (SELECT instance, presentation, avg(CASE WHEN hypothesis = 'latin' THEN total_per_all_symbols END) AS a, avg(CASE WHEN hypothesis = 'german' THEN total_per_all_symbols END) AS b FROM cells GROUP BY instance, presentation)
         SELECT count(*) AS n, round(var_samp(a - b), 6) AS paired, round(var_samp(a) + var_samp(b), 6) AS independent, round((var_samp(a) + var_samp(b)) / nullif(var_samp(a - b), 0), 5) AS ratio FROM p WHERE a IS NOT NULL AND b IS NOT NULL""",

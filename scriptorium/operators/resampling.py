@@ -54,12 +54,12 @@ OPS = {
         SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * abs(c - a)) / sum(n), 6) AS ece FROM b""",
     # ---- generators
     "op200_substitution_noise": lambda d: f"""WITH k AS (SELECT a.ch, b.ch AS to_ch FROM (SELECT substr('{LETTERS}', CAST(j AS INTEGER), 1) AS ch, j FROM (SELECT 1 AS one) z{d.each('j', '1', '25')}) a JOIN (SELECT ch, row_number() OVER (ORDER BY md5(concat_ws('|', 'key', ch))) AS j FROM (SELECT substr('{LETTERS}', CAST(j AS INTEGER), 1) AS ch FROM (SELECT 1 AS one) z{d.each('j', '1', '25')}) y) b ON b.j = a.j)
-        SELECT doc_id, {d.sha256(d.glue("CASE WHEN " + d.u("'s'", "CAST(doc_id AS STRING)", "CAST(pos AS STRING)") + " < 0.2e0 THEN k.to_ch ELSE g END", '', 'pos'))} AS noised_sha, count(*) AS n FROM (SELECT doc_id, pos, g FROM (SELECT doc_id, substr(s, 1, 500) AS s FROM plain) y{d.grams('s', 1, 'pos', 'g')}) p JOIN k ON k.ch = p.g GROUP BY doc_id""",
+        SELECT doc_id, {d.sha256(d.glue("CASE WHEN " + d.u("'s'", "CAST(doc_id AS STRING)", "CAST(pos AS STRING)") + " < 0.2e0 THEN k.to_ch ELSE g END", '', 'pos'))} AS noised_sha, count(*) AS n FROM (SELECT doc_id, pos, g FROM plain{d.grams('s', 1, 'pos', 'g')}) p JOIN k ON k.ch = p.g GROUP BY doc_id""",
     "op202_transcription_noise": lambda d: f"""SELECT doc_id, {d.sha256(d.glue("CASE WHEN u < 0.04e0 THEN substr('" + LETTERS + "', CAST(floor(v * 25) + 1 AS INTEGER), 1) WHEN u < 0.045e0 THEN '' WHEN u < 0.05e0 THEN g || substr('" + LETTERS + "', CAST(floor(v * 25) + 1 AS INTEGER), 1) ELSE g END", '', 'pos'))} AS noised_sha, count(*) FILTER (WHERE u < 0.05e0) AS events
-        FROM (SELECT doc_id, pos, g, {d.u("'e'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} AS u, {d.u("'v'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} AS v FROM (SELECT doc_id, substr(s, 1, 500) AS s FROM plain) y{d.grams('s', 1, 'pos', 'g')}) q GROUP BY doc_id""",
+        FROM (SELECT doc_id, pos, g, {d.u("'e'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} AS u, {d.u("'v'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} AS v FROM plain{d.grams('s', 1, 'pos', 'g')}) q GROUP BY doc_id""",
     "op206_substitution_cipher": lambda d: f"""WITH k AS (SELECT a.ch, b.ch AS to_ch FROM (SELECT substr('{LETTERS}', CAST(j AS INTEGER), 1) AS ch, j FROM (SELECT 1 AS one) z{d.each('j', '1', '25')}) a JOIN (SELECT ch, row_number() OVER (ORDER BY md5(concat_ws('|', 'bij', ch))) AS j FROM (SELECT substr('{LETTERS}', CAST(j AS INTEGER), 1) AS ch FROM (SELECT 1 AS one) z{d.each('j', '1', '25')}) y) b ON b.j = a.j)
         SELECT doc_id, {d.sha256(d.glue('k.to_ch', '', 'pos'))} AS cipher_sha FROM (SELECT doc_id, pos, g FROM plain{d.grams('s', 1, 'pos', 'g')}) p JOIN k ON k.ch = p.g GROUP BY doc_id""",
-    "op206_homophonic_cipher": lambda d: f"""SELECT lang, g AS letter, hom, count(*) AS n FROM (SELECT p.lang, p.g, CAST(floor({d.u("'h'", 'CAST(p.doc_id AS STRING)', 'CAST(p.pos AS STRING)')} * greatest(1e0, round(40 * w.p))) AS INTEGER) AS hom FROM (SELECT doc_id, lang, pos, g FROM (SELECT doc_id, lang, substr(s, 1, 500) AS s FROM parted WHERE part = 'heldout') y{d.grams('s', 1, 'pos', 'g')}) p JOIN w1 w ON w.lang = p.lang AND w.g = p.g) q GROUP BY lang, g, hom""",
+    "op206_homophonic_cipher": lambda d: f"""SELECT lang, g AS letter, hom, count(*) AS n FROM (SELECT p.lang, p.g, CAST(floor({d.u("'h'", 'CAST(p.doc_id AS STRING)', 'CAST(p.pos AS STRING)')} * greatest(1e0, round(40 * w.p))) AS INTEGER) AS hom FROM (SELECT doc_id, lang, pos, g FROM (SELECT doc_id, lang, s FROM parted WHERE part = 'heldout') y{d.grams('s', 1, 'pos', 'g')}) p JOIN w1 w ON w.lang = p.lang AND w.g = p.g) q GROUP BY lang, g, hom""",
     "op207_homophone_allocation": lambda d: """WITH q AS (SELECT lang, g, 60e0 * (n / CAST(sum(n) OVER (PARTITION BY lang) AS DOUBLE)) AS x FROM c1), r AS (SELECT lang, g, floor(x) AS base, row_number() OVER (PARTITION BY lang ORDER BY round(x - floor(x), 9) DESC, g) AS place, 60 - sum(floor(x)) OVER (PARTITION BY lang) AS rest FROM q)
         SELECT lang, g AS letter, CAST(base + CASE WHEN place <= rest THEN 1 ELSE 0 END AS INTEGER) AS homophones FROM r""",
     "op211_key_derangement": lambda d: f"""WITH l AS (SELECT substr('{LETTERS}', CAST(j AS INTEGER), 1) AS ch FROM (SELECT 1 AS one) z{d.each('j', '1', '25')}), h AS (SELECT ch, row_number() OVER (ORDER BY md5(concat_ws('|', 'der', ch))) AS i, count(*) OVER () AS m FROM l) SELECT a.ch, b.ch AS to_ch FROM h a JOIN h b ON b.i = a.i % a.m + 1""",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.operators import corpus, forensics, judging, resampling
+from scriptorium.plans import rows_only
 from scriptorium.plans.portable import DUCK, SPARK, TABLES, run, with_relations
 from scriptorium.plans.relations import RELATIONS
 
@@ -26,5 +27,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | rows_only.QUERIES
 ORACLE = {name: with_relations(DUCK, RELATIONS, statement(DUCK)) for name, statement in STATEMENTS.items()}
