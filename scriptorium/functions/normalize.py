@@ -84,3 +84,12 @@ def lost_characters(text: Column | str) -> Column:
         return x.map(lambda t: [{"ch": c, "kind": _folds[c][0]} for c in sorted(set(unicodedata.normalize("NFC", t or ""))) if _folds[c][0] in ("dropped", "foreign")])
 
     return F.pandas_udf(lost, "array<struct<ch:string,kind:string>>")(text)
+
+
+def character_kinds(text: Column | str) -> Column:
+    """Each distinct character of a text with its kind and what it becomes."""
+
+    def kinds(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: [{"ch": c, "kind": _folds[c][0], "letters": _folds[c][1]} for c in sorted(set(unicodedata.normalize("NFC", t or "")))])
+
+    return F.pandas_udf(kinds, "array<struct<ch:string,kind:string,letters:string>>")(text)

@@ -90,4 +90,7 @@ OPS = {
         SELECT transcription, round(sum(top) / CAST(sum(total) AS DOUBLE), 6) AS ceiling, count(*) FILTER (WHERE kinds > 1) AS colliding FROM (SELECT transcription, word, max(n) AS top, sum(n) AS total, count(*) AS kinds FROM c GROUP BY transcription, word) r GROUP BY transcription""",
     "op239_marked_body": lambda d: f"SELECT doc_id, CASE WHEN instr(text, chr(10)) > 0 THEN CAST(length(substr(text, instr(text, chr(10)) + 1)) AS BIGINT) ELSE CAST(length(text) AS BIGINT) END AS body_chars FROM {d.t('documents')}",
     "op242_decode_excerpts": lambda d: f"SELECT transcription, page_id, {d.glue('word', '.', 'line, idx')} AS excerpt FROM (SELECT tok.*, sum(length(word)) OVER (PARTITION BY transcription, page_id ORDER BY line, idx ROWS UNBOUNDED PRECEDING) AS upto FROM tok) q WHERE upto <= 120 GROUP BY transcription, page_id",
+    "op012_glyph_lists": lambda d: f"SELECT t.transcription, coalesce(t.lang, p.lang) AS dialect, count(*) AS words, CAST(sum({d.times('word', 'c[tkpf]h|ch|sh|[a-z]')}) AS BIGINT) AS glyphs FROM tok t LEFT JOIN pg p ON p.page_id = t.page_id GROUP BY t.transcription, coalesce(t.lang, p.lang)",
+    "op013_block_text_words": lambda d: f"SELECT doc_id, count(*) AS words FROM (SELECT doc_id, lower(val) AS line FROM {d.t('documents')}{d.parts('text', chr(92) + 'n', 'pos', 'val')} WHERE length(val) >= 40) q{d.found('line', '[a-zà-öø-ÿ]+', 'k', 'word')} GROUP BY doc_id",
+    "op248_grouping_by_key": lambda d: "SELECT lang, illus, count(*) AS n FROM tok GROUP BY GROUPING SETS ((lang), (illus), (lang, illus))",
 }

@@ -80,4 +80,10 @@ OPS = {
     "op023_calibration_table": lambda d: "SELECT lang, family, CAST(pos AS INTEGER) AS pos, CASE WHEN lang = 'german' THEN 0.2e0 WHEN lang = 'latin' THEN -0.1e0 ELSE 0e0 END AS offset_bits FROM langs",
     "op035_report_only_table": lambda d: "SELECT lang, family, 0e0 AS applied FROM langs",
     "op034_lm_table": lambda d: "SELECT w2.lang, w2.g, round(ln(w2.n / CAST(w2.big AS DOUBLE)), 6) AS log_ml FROM w2",
+    "op189_paired_bits": lambda d: f"""WITH m AS (SELECT doc_id, lang, role, pos, g FROM (SELECT doc_id, lang, 'decode' AS role, s FROM parted WHERE part = 'heldout' UNION ALL SELECT doc_id, lang, 'reversed' AS role, reverse(s) AS s FROM parted WHERE part = 'heldout') p{d.grams('s', 2, 'pos', 'g')}
+        WHERE {d.u("'pair'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} < 0.5e0)
+        SELECT m.doc_id, m.role, count(*) AS masked, round(avg(-log2(CASE WHEN x.big IS NULL THEN w1.p ELSE coalesce(w2.n, 0) / CAST(x.big + x.kinds AS DOUBLE) + x.kinds / CAST(x.big + x.kinds AS DOUBLE) * w1.p END)), 5) AS bits FROM m JOIN w1 ON w1.lang = m.lang AND w1.g = substr(m.g, 2, 1)
+        LEFT JOIN ctx2 x ON x.lang = m.lang AND x.ctx = substr(m.g, 1, 1) LEFT JOIN w2 ON w2.lang = m.lang AND w2.g = m.g GROUP BY m.doc_id, m.role""",
+    "op228_mask_arms": lambda d: """WITH m AS (SELECT kind, c.instance, avg(CASE WHEN presentation = 'plain' THEN total_per_all_symbols END) AS a, avg(CASE WHEN presentation = 'stripped' THEN total_per_all_symbols END) AS b, max(no_cipher_baseline_bits_per_symbol) AS rate FROM cells c JOIN kinds k ON k.instance = c.instance GROUP BY kind, c.instance)
+        SELECT kind, count(*) AS n, round(avg(b - a), 6) AS margin, round(avg(0.8e0 * a + 0.2e0 * rate), 6) AS charged_total FROM m WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY kind""",
 }

@@ -68,4 +68,7 @@ OPS = {
     "op234_section_ser": lambda d: f"""SELECT a.transcription, a.section, round(levenshtein(a.x, b.x) / CAST(length(b.x) AS DOUBLE), 6) AS ser FROM (SELECT transcription, CAST(floor(spot / 40) AS BIGINT) AS section, {d.glue('substr(word, 1, 1)', '', 'spot')} AS x FROM seq GROUP BY transcription, floor(spot / 40)) a JOIN (SELECT transcription, CAST(floor(spot / 40) AS BIGINT) AS section, {d.glue('substr(word, length(word), 1)', '', 'spot')} AS x FROM seq GROUP BY transcription, floor(spot / 40)) b ON b.transcription = a.transcription AND b.section = a.section""",
     "op136_error_spread": lambda d: "WITH e AS (SELECT transcription, spot, CASE WHEN length(word) > 8 THEN 1e0 ELSE 0e0 END AS x FROM seq) SELECT transcription, round(corr(x, nx), 6) AS lag1, round(avg(x), 6) AS rate FROM (SELECT e.*, lead(x) OVER (PARTITION BY transcription ORDER BY spot) AS nx FROM e) q WHERE nx IS NOT NULL GROUP BY transcription",
     "op238_weighted_ser": lambda d: f"SELECT transcription, round(sum(ser * n) / sum(n), 6) AS weighted, round({d.quantile('ser', '0.5e0')}, 6) AS median FROM (SELECT transcription, page_id, avg(levenshtein(before, word) / CAST(length(word) AS DOUBLE)) AS ser, count(*) AS n FROM pairs GROUP BY transcription, page_id HAVING count(*) >= 20) q GROUP BY transcription",
+    "op205_example_labels": lambda d: f"""WITH u AS (SELECT CAST(j AS INTEGER) AS example, {d.u("'label'", 'CAST(j AS STRING)')} AS a, {d.u("'kind'", 'CAST(j AS STRING)')} AS b, {d.u("'len'", 'CAST(j AS STRING)')} AS c FROM (SELECT 1 AS one) z{d.each('j', '1', '1000')})
+        SELECT example, a < 0.25e0 AS abstain, CASE WHEN a >= 0.25e0 THEN 'language' WHEN b < 0.45e0 THEN 'shuffled' WHEN b < 0.85e0 THEN 'pool' ELSE 'gibberish' END AS kind, CASE WHEN c < 0.2e0 THEN 128 WHEN c < 0.45e0 THEN 256 WHEN c < 0.7e0 THEN 512 ELSE 1024 END AS example_len FROM u""",
+    "op231_readmission_batches": lambda d: "SELECT transcription, word, CAST(ceil(place * 5e0 / m) AS INTEGER) AS batch FROM (SELECT transcription, word, row_number() OVER (PARTITION BY transcription ORDER BY md5(concat_ws('|', 'wild', word)), word) AS place, count(*) OVER (PARTITION BY transcription) AS m FROM freq WHERE n = 1) q",
 }

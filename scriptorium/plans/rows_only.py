@@ -11,7 +11,7 @@ from scriptorium.lineage import written
 from scriptorium.operators import noise, search
 from scriptorium.plans.portable import SPARK, TABLES, run, with_relations
 from scriptorium.plans.relations import RELATIONS
-from scriptorium.sources import ivtff
+from scriptorium.sources import files, ivtff
 from scriptorium.streaming import examples
 
 
@@ -29,8 +29,8 @@ def _counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op041_character_fold(spark, folder):
-    each = _t(spark, folder, "documents").select(F.explode(N.lost_characters("text")).alias("x"))
-    return each.groupBy(F.col("x.ch").alias("ch"), F.col("x.kind").alias("kind")).agg(F.count("*").alias("texts"))
+    each = _t(spark, folder, "documents").select(F.explode(N.character_kinds("text")).alias("x"))
+    return each.groupBy(F.col("x.ch").alias("ch"), F.col("x.kind").alias("kind"), F.col("x.letters").alias("letters")).agg(F.count("*").alias("texts"))
 
 
 def op042_normalize_unicode(spark, folder):
@@ -155,4 +155,172 @@ def op245_example_batches(spark, folder):
     return examples.batches(op244_example_stream(spark, folder))
 
 
+# ---- files written to the shared folder and scanned again
+def _files(spark, folder, kind):
+    import uuid
+
+    from scriptorium.lineage import shared_folder
+
+    root = f"{shared_folder(spark)}/scriptorium/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    docs = _t(spark, folder, "documents")
+    if kind == "csv":
+        docs.select("doc_id", F.col("text").alias("textstring"), "source").write.option("header", "true").option("escape", '"').option("quoteAll", "true").partitionBy("source").csv(root)
+    elif kind == "json":
+        cells = _t(spark, folder, "score_cells").groupBy("instance").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("presentation", F.lit(1.0))))).alias("coverage"), F.count("*").cast("int").alias("n_stream"))
+        cells.select(F.col("instance").alias("name"), F.split("instance", "_")[0].alias("kind"), "n_stream", "coverage").write.option("multiLine", "false").json(root)
+    else:
+        docs.select(F.regexp_replace("text", "\r", "").alias("text"), "source").write.option("lineSep", "\n\n").partitionBy("source").text(root)
+    return root
+
+
+def op001_csv_corpus(spark, folder):
+    return files.csv_corpus(spark, _files(spark, folder, "csv")).select(F.sha2("text", 256).alias("text_sha"), F.length("text").alias("n_chars"))
+
+
+def op002_plain_texts(spark, folder):
+    return files.plain_texts(spark, _files(spark, folder, "text")).select(F.length("text").alias("n_chars"))
+
+
+def op003_discovery(spark, folder):
+    return files.discover(spark, _files(spark, folder, "text")).groupBy("language").agg(F.count("*").alias("files"))
+
+
+def op007_ivtff_variables(spark, folder):
+    loci = ivtff.parse(ivtff.rendered(_t(spark, folder, "folio_tokens"), _t(spark, folder, "folio_pages")))
+    return loci.groupBy("file", "page", "lang", "hand").agg(F.count("*").alias("loci"))
+
+
+def op011_wide_tokens(spark, folder):
+    toks = _rel(spark, folder, "SELECT page_id, par, line, idx, word FROM alltok WHERE idx < 26")
+    wide = toks.withColumn("t", F.concat(F.lit("t"), F.col("idx") + 1)).groupBy(F.col("page_id").cast("string").alias("folio"), "par", "line").pivot("t", [f"t{k}" for k in range(1, 27)]).agg(F.first("word"))
+    return files.wide_tokens(wide)
+
+
+def op010_wide_paragraphs(spark, folder):
+    langs = _rel(spark, folder, "SELECT CAST(page_id AS STRING) AS folio, lang FROM pg")
+    return files.wide_paragraphs(op011_wide_tokens(spark, folder), langs).select("folio", "par", "lang", F.size("lines").alias("n_lines"))
+
+
+def op015_nested_sentences(spark, folder):
+    rows = _rel(spark, folder, "SELECT doc_id, pos, sum(CASE WHEN length(sentence) < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS para_id, false AS is_para_final, sentence FROM (SELECT doc_id, pos, val AS sentence FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) AS pos, val) q")
+    return files.nested_sentences(rows).select("doc_id", "par", F.size("sentences").alias("n"))
+
+
+def op018_language_corpus(spark, folder):
+    docs = _t(spark, folder, "documents").select("doc_id", "text")
+    return docs.where("length(text) < 2000").select("doc_id", F.explode(F.split("text", r"[.!?]")).alias("x")).unionByName(docs.where("length(text) >= 2000").select("doc_id", F.explode(F.split("text", "\n")).alias("x"))).where("trim(x) <> ''").groupBy("doc_id").count()
+
+
+def op020_word_tables(spark, folder):
+    words = _rel(spark, folder, "SELECT word, row_number() OVER (ORDER BY n DESC, word) AS k FROM (SELECT word, count(*) AS n FROM tok GROUP BY word) q")
+    cells = words.where("k <= 240").select(F.lit("b1").alias("book"), (F.floor((F.col("k") - 1) / 24) + 1).alias("column"), F.substring(F.lit("abcdefghiklmnopqrstuvwxy"), ((F.col("k") - 1) % 24 + 1).cast("int"), F.lit(1)).alias("letter"), "word")
+    whole = cells.where(F.col("column") <= F.lit(words.count() // 24))
+    return files.word_tables(whole).select("book", "column", "word", F.size("letters").alias("n"))
+
+
+def op021_glyph_tables(spark, folder):
+    rows = _rel(spark, folder, "SELECT DISTINCT concat_ws('_', coalesce(lang, 'x'), CAST(length(word) AS STRING), substr(word, 1, 1)) AS code, word AS glyphs FROM tok")
+    return files.glyph_tables(rows)
+
+
+def op022_instances(spark, folder):
+    root = _files(spark, folder, "json")
+    return spark.read.schema(files.INSTANCE).json(root).select("name", "kind", "n_stream", F.size("coverage").alias("presentations"))
+
+
+def op030_dialect_sink(spark, folder):
+    return written(_rel(spark, folder, "SELECT transcription, coalesce(lang, 'none') AS dialect, word FROM tok"), "dialects").groupBy("dialect").count()
+
+
+def op036_sequence_pool(spark, folder):
+    return written(op210_control_battery(spark, folder).where("control = 'gibberish'").select("doc_id", F.split("text", "").alias("letters")), "pool").select("doc_id", F.size("letters").alias("n"))
+
+
+def op067_lexical_margin(spark, folder):
+    return op066_lexical_coverage(spark, folder).groupBy("lang").agg(F.avg("margin").alias("mean_margin"))
+
+
+def op169_loglinear_fit(spark, folder):
+    import numpy as np
+    import pandas as pd
+
+    from scriptorium.queries import operator
+
+    def fit(pdf):
+        hands = sorted(pdf["hand"].unique())
+        table = np.full((len(hands), 7, 7), 0.5)
+        for h, a, b, n in zip(pdf["hand"], pdf["a"], pdf["b"], pdf["n"]):
+            table[hands.index(h), a - 1, b - 1] += n
+        g, i, j = np.indices(table.shape)
+        return pd.DataFrame({"hand": np.array(hands)[g.ravel()], "a": i.ravel() + 1, "b": j.ravel() + 1, "fitted": search.fit_no_three_way(table).ravel()})
+
+    return operator(spark, "op118_transitions", folio_tokens=_t(spark, folder, "folio_tokens")).groupBy(F.lit(1).alias("all")).applyInPandas(fit, "hand string, a long, b long, fitted double")
+
+
+def op175_stacked_orders(spark, folder):
+    sheets = _rel(spark, folder, "SELECT DISTINCT transcription, quire, bifolio FROM pg WHERE quire IS NOT NULL AND bifolio IS NOT NULL")
+    return search.stacked_orders(sheets)
+
+
+def op185_bonferroni(spark, folder):
+    return spark.createDataFrame([(n, search.bonferroni_z(0.05, n)) for n in (1, 2, 10, 100)], "n int, z double")
+
+
+def op212_own_bits_filter(spark, folder):
+    import numpy as np
+    import pandas as pd
+
+    models = search.dense_model(_counts(spark, folder))
+    texts = _rel(spark, folder, "SELECT doc_id, lang, s FROM parted WHERE part = 'heldout' AND length(s) > 2")
+    dirty = noise.noised(texts, "transcription", 0.05).join(texts.select("doc_id", "lang"), "doc_id")
+
+    def bits(batches):
+        for pdf in batches:
+            got = [-search._Trigrams(search.encode(t), search.A).score(np.arange(search.A), models[x]) / (len(t) * np.log(2)) for t, x in zip(pdf["text"], pdf["lang"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bits": got})
+
+    return dirty.where("length(text) > 2").select("doc_id", "lang", "text").mapInPandas(bits, "doc_id long, bits double").withColumn("kept", F.col("bits") <= 4.5)
+
+
+def op217_word_homophonic_search(spark, folder):
+    import numpy as np
+    import pandas as pd
+
+    models = search.dense_model(_counts(spark, folder))
+
+    def solve(pdf):
+        pdf = pdf.sort_values("spot")
+        ids = pd.factorize(pdf["word"])[0]
+        lm = models["latin"]
+        key, value = search.solve_homophonic(ids, int(ids.max()) + 1, lm, 0, steps=1500, extra=search.repeat_rule(ids))
+        return pd.DataFrame({"transcription": [pdf["transcription"].iloc[0]], "types": [int(ids.max()) + 1], "bits": [-value / (len(ids) * np.log(2))]})
+
+    common = _rel(spark, folder, "SELECT s.transcription, s.spot, s.word FROM seq s JOIN (SELECT transcription, word FROM (SELECT transcription, word, row_number() OVER (PARTITION BY transcription ORDER BY n DESC, first_at) AS k FROM freq) q WHERE k <= 60) t ON t.transcription = s.transcription AND t.word = s.word")
+    return common.groupBy("transcription").applyInPandas(solve, "transcription string, types long, bits double")
+
+
+def op220_open_jobs(spark, folder):
+    cells = _t(spark, folder, "score_cells").where("instance is not null")
+    jobs = cells.select("instance", "head").distinct().withColumn("cost", F.when(F.col("head") == "naibbe", 58).otherwise(10))
+    return search.open_jobs(jobs, cells.where("language_like"), ["instance", "head"], "cost")
+
+
+def op227_noise_profile(spark, folder):
+    import numpy as np
+    import pandas as pd
+
+    models = search.dense_model(_counts(spark, folder))
+    lang = _rel(spark, folder, "SELECT doc_id, lang FROM parted WHERE part = 'heldout'")
+    grid = op204_noise_grid(spark, folder).where("n_out > 2").join(lang, "doc_id")
+
+    def bits(batches):
+        for pdf in batches:
+            got = [-search._Trigrams(search.encode(t), search.A).score(np.arange(search.A), models[x]) / (len(t) * np.log(2)) for t, x in zip(pdf["text"], pdf["lang"])]
+            yield pd.DataFrame({"family": pdf["family"], "severity": pdf["severity"], "bits": got})
+
+    return grid.select("family", "severity", "lang", "text").mapInPandas(bits, "family string, severity double, bits double").groupBy("family", "severity").agg(F.avg("bits").alias("mean_bits"), F.count("*").alias("n"))
+
+
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("op")}
