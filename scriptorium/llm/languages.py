@@ -37,7 +37,8 @@ from scriptorium.llm.grouped_splits import plain_language
 LANGUAGES = ("latin", "italian", "german", "french")
 PROFILE, SAMPLE_DOCS = 400, 6000
 LEAST_LINE, LEAST_DOC = 40, 100
-#: Names of sources kept in the automaton of site lines (a name takes about 100 bytes).
+#: Names of sources kept in the automaton of site lines (a name takes about 100 bytes);
+#: a document's own source is looked for whatever their number.
 MOST_SOURCES = 200_000
 _tables: list[np.ndarray] = []
 
@@ -81,10 +82,12 @@ def _page_line(line: str) -> bool:
     return words[1].strip(".,").isdigit() and words[3].strip(".,;)").isdigit()
 
 
-def _site_lines(text: str, starts: np.ndarray, automaton) -> list[int]:
-    """Numbers (from 0) of the lines of ``text`` that belong to the site."""
+def _site_lines(text: str, own: str, starts: np.ndarray, automaton) -> list[int]:
+    """Numbers (from 0) of the lines of ``text`` that belong to the site; ``own`` is the name of its source."""
     out = []
     low = text.lower()
+    if len(own) >= 4 and own not in automaton and own in low:
+        out = [k for k, line in enumerate(text.split("\n")) if own in line.lower()]
     if len(automaton) and len(low) == len(text):
         for end, size in automaton.iter(low):
             before, after = low[end - size] if end >= size else " ", low[end + 1] if end + 1 < len(low) else " "
@@ -97,7 +100,7 @@ def _site_lines(text: str, starts: np.ndarray, automaton) -> list[int]:
     return out
 
 
-def _trigrams(texts: list[str], automaton):
+def _trigrams(texts: list[str], owns: list[str], automaton):
     """(line of each trigram, code, letters per line, document of each line, first line of each document)."""
     c = H.points("\n".join(texts) + "\n")
     ends = np.flatnonzero(c == 10)
@@ -113,7 +116,7 @@ def _trigrams(texts: list[str], automaton):
     for d, text in enumerate(texts):
         a = first_line[d]
         b = first_line[d + 1] if d + 1 < len(texts) else len(ends)
-        for k in _site_lines(text, starts[a:b] - first_char[d], automaton):
+        for k in _site_lines(text, owns[d], starts[a:b] - first_char[d], automaton):
             site[a + k] = True
     digit = (c >= 48) & (c <= 57)
     for k in np.flatnonzero((np.bincount(line[digit], minlength=len(ends)) >= 2) & ~site & (letters >= 10)):
@@ -130,22 +133,23 @@ def _trigrams(texts: list[str], automaton):
     return line[1:-1][inner], code[inner], letters, site, doc_of, first_line
 
 
-def _some(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+def _some(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], list[str]]]:
     texts = [x or "" for x in batch.column("text").to_pylist()]
+    owns = [x or "" for x in batch.column("own").to_pylist()]
     at, held = 0, 0
     for i, x in enumerate(texts):
         held += len(x)
         if held >= H.ROUND:
-            yield at, texts[at : i + 1]
+            yield at, texts[at : i + 1], owns[at : i + 1]
             at, held = i + 1, 0
     if at < len(texts):
-        yield at, texts[at:]
+        yield at, texts[at:], owns[at:]
 
 
 def language_profiles(documents: DataFrame, names: list[str], sample_docs: int = SAMPLE_DOCS, profile: int = PROFILE) -> dict[str, list[int]]:
     """The most frequent trigram codes of each language, most frequent first."""
     total = documents.count()
-    docs = documents.select(plain_language(F.col("lang")).alias("language"), "text", "doc_id").where("language is not null and text is not null")
+    docs = documents.select(plain_language(F.col("lang")).alias("language"), "text", "doc_id", F.lower(F.trim("source")).alias("own")).where("language is not null and text is not null")
     if total > sample_docs:
         docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample_docs / total)))
 
@@ -154,13 +158,13 @@ def language_profiles(documents: DataFrame, names: list[str], sample_docs: int =
         sums = np.zeros((len(LANGUAGES), 27**3), np.int64)
         for batch in batches:
             labels = np.array([LANGUAGES.index(x) for x in batch.column("language").to_pylist()], np.int64)
-            for at, some in _some(batch):
-                line, code, _, _, doc_of, _ = _trigrams(some, automaton)
+            for at, some, owns in _some(batch):
+                line, code, _, _, doc_of, _ = _trigrams(some, owns, automaton)
                 np.add.at(sums, (labels[at:][doc_of[line]], code), 1)
         lang, code = np.nonzero(sums)
         yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(sums[lang, code])], names=["lang", "code", "n"])
 
-    counts = docs.select("language", "text").mapInArrow(run, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = docs.select("language", "text", "own").mapInArrow(run, "lang int, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("rank") <= profile)
     out: dict[str, list[int]] = {}
     for row in ranked.orderBy("lang", "rank").collect():
@@ -211,8 +215,8 @@ def _classify(profiles: dict[str, list[int]], names: list[str]):
         automaton = _automaton(names)
         for batch in batches:
             ids, labels = batch.column("doc_id").to_numpy(zero_copy_only=False), np.array(batch.column("label").to_pylist(), object)
-            for at, some in _some(batch):
-                line, code, letters, site, doc_of, first_line = _trigrams(some, automaton)
+            for at, some, owns in _some(batch):
+                line, code, letters, site, doc_of, first_line = _trigrams(some, owns, automaton)
                 n, m = len(some), len(letters)
                 gram = gram_of[code].astype(np.int64)
                 line, gram = line[gram >= 0], gram[gram >= 0]
@@ -255,7 +259,7 @@ def languages(documents: DataFrame) -> DataFrame:
     """
     names = site_names(documents)
     profiles = language_profiles(documents, names)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", plain_language(F.col("lang")).alias("label"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", plain_language(F.col("lang")).alias("label"), F.lower(F.trim("source")).alias("own"))
     docs = spread(docs).where("doc_id is not null and text is not null")
     if len(profiles) < 2:
         return docs.sparkSession.createDataFrame([], SCHEMA)
