@@ -155,6 +155,68 @@ def op245_example_batches(spark, folder):
     return examples.batches(op244_example_stream(spark, folder))
 
 
+def op223_planted_swap_search(spark, folder):
+    texts = _rel(spark, folder, "SELECT CAST(doc_id AS STRING) AS instance, lang, s FROM parted WHERE part = 'heldout'")
+    return search.planted_swaps(texts, _counts(spark, folder))
+
+
+def op219_alternating_search(spark, folder):
+    import numpy as np
+    import pandas as pd
+
+    models = search.dense_model(_counts(spark, folder))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for doc, lang, s in zip(pdf["doc_id"], pdf["lang"], pdf["s"]):
+                plain, rng = search.encode(s), np.random.default_rng(doc)
+                grams, lm = search._Trigrams(plain, search.A), models[lang]
+                objective = lambda k, g=grams, m=lm: g.score(k, m)
+
+                def propose(key, k, rng=rng):
+                    x, y = rng.choice(search.A, 2, replace=False)
+                    key[x], key[y] = key[y], key[x]
+                    return key
+
+                start = search.frequency_key(grams.occ, lm)
+                key, _ = search.alternate(start, propose, lambda k, o=objective: search._climb(k, o(k), o)[0], objective, rounds=2)
+                out.append((doc, lang, float((key[plain] != plain).mean())))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "ser"])
+
+    return _rel(spark, folder, "SELECT doc_id, lang, s FROM parted WHERE part = 'heldout' AND length(s) > 2").repartition(16).mapInPandas(run, "doc_id long, lang string, ser double")
+
+
+def op192_soft_score(spark, folder):
+    import numpy as np
+    import pandas as pd
+
+    models = search.dense_model(_counts(spark, folder))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for doc, lang, s in zip(pdf["doc_id"], pdf["lang"], pdf["s"]):
+                soft = 0.9 * np.eye(search.A)[search.encode(s)] + 0.1 / search.A
+                out.append((doc, search.soft_score(soft, models[lang]) / len(s)))
+            yield pd.DataFrame(out, columns=["doc_id", "nats_per_letter"])
+
+    return _rel(spark, folder, "SELECT doc_id, lang, s FROM parted WHERE part = 'heldout'").repartition(16).mapInPandas(run, "doc_id long, nats_per_letter double")
+
+
+def op031_presentation_sink(spark, folder):
+    rows = _rel(spark, folder, "SELECT transcription, 'words' AS kind, word AS symbol FROM tok UNION ALL SELECT transcription, 'initials' AS kind, substr(word, 1, 1) AS symbol FROM tok")
+    return written(rows, "presentations").groupBy("transcription", "kind").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
+
+
+def op247_scorers(spark, folder):
+    """Any scorer with the columns (doc_id, lang, bits) can stand in: here the uniform one beside the n-gram model."""
+    from scriptorium.queries import operator
+
+    model = operator(spark, "op103_lm_scores", documents=_t(spark, folder, "documents")).withColumn("scorer", F.lit("ngram"))
+    return model.unionByName(model.withColumn("bits", F.log2(F.lit(25.0))).withColumn("scorer", F.lit("uniform")))
+
+
 # ---- files written to the shared folder and scanned again
 def _files(spark, folder, kind):
     import uuid

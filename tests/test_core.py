@@ -233,6 +233,26 @@ def test_segment_viterbi_brute_force():
     assert value == pytest.approx(best) and 2 <= len(letters) <= 4
 
 
+def test_lattice_and_soft_score_brute_force():
+    rng = np.random.default_rng(5)
+    lm = tuple(rng.normal(size=(25,) * k) for k in (1, 2, 3))
+    emissions = {1: rng.normal(size=(4, 25)), 3: rng.normal(size=(4, 25))}
+
+    def best(pos, score):
+        if pos == 4:
+            return score.max()
+        step = (score[:, :, None] + lm[2]).max(0)
+        return max(best(pos + n, step + e[pos][None, :]) for n, e in emissions.items() if pos + n <= 4)
+
+    value, cut = search.lattice_viterbi(emissions, lm)
+    assert value == pytest.approx(best(0, lm[0][:, None] + lm[1])) and sum(n for n, _ in cut) == 4
+    assert search.lattice_viterbi({3: emissions[3]}, lm) == (float("-inf"), [])
+    ids = rng.integers(0, 25, 200)
+    assert search.soft_score(np.eye(25)[ids], lm) == pytest.approx(search._Trigrams(ids, 25).score(np.arange(25), lm))
+    frame = search.null_frame(np.eye(25)[[1, 2]], np.eye(25)[[3, 4]], np.array([0.25, 1.0]))
+    assert frame.shape == (4, 26) and np.allclose(frame.sum(1), 1) and frame[1, 25] == 0.25 and frame[3, 25] == 1.0
+
+
 def test_lexical_coverage_and_fitting():
     assert search.lexical_coverage("abcdexfghij", {"abcde", "fghij", "bcdexf"}) == 10 / 11
     assert search.lexical_coverage("", {"abcd"}) == 0.0
