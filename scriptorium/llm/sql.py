@@ -9,7 +9,7 @@ keyed AS (
 sized AS (SELECT source, count(DISTINCT doc_id) AS of_docs FROM documents WHERE source IS NOT NULL GROUP BY 1),
 often AS (
   SELECT keyed.source, k FROM keyed JOIN sized USING (source)
-  WHERE len(list_filter(string_split(k, ' '), x -> x <> '0' AND x <> '')) >= 5
+  WHERE len(regexp_extract_all(k, '\\p{L}+')) >= 5
   GROUP BY keyed.source, k, of_docs HAVING count(DISTINCT doc_id) >= 4 AND count(DISTINCT doc_id) >= 0.15 * of_docs)
 """
 
