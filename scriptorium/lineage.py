@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,3 +63,21 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """
     wanted = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() * 2 < wanted else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the application, once.
+
+    Workers that cannot import it from a path of their own (a driver started elsewhere,
+    executors without the repository) then find it.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_scriptorium_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="scriptorium-")) / "scriptorium.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._scriptorium_shipped = True
