@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scriptorium.lineage import spread
 from scriptorium.operators import corpus, forensics, judging, resampling
 from scriptorium.plans import rows_only
 from scriptorium.plans.portable import DUCK, SPARK, TABLES, run, with_relations
@@ -22,7 +23,10 @@ def operator(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         sql = with_relations(SPARK, RELATIONS, STATEMENTS[name](SPARK))
-        return run(spark, sql, **{t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql})
+        tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+        if "documents" in tables:  # few and long rows: spread before they are exploded
+            tables["documents"] = spread(tables["documents"])
+        return run(spark, sql, **tables)
 
     return query
 
