@@ -117,7 +117,7 @@ def with_relations(d: Spark, relations: dict[str, Statement], body: str) -> str:
 
     def need(text: str) -> None:
         for name in relations:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
                 need(relations[name](d))
                 if name not in needed:
                     needed.append(name)
