@@ -14,7 +14,7 @@ of their sequences instead.
 Texts with equal sets of sequences form one class and are joined once. Segments in very
 many classes (site notices) are not joined between all classes: a pair that has no
 rarer segment in common consists largely of such segments, so only those classes meet
-on them, each by its rarest ones.
+on them, each by its rarest ones, and of these by those that both texts would send.
 
 Defined results: null and short texts (under 20 words) are nearly the same as nothing;
 a record listed in both sides of a version is a case with itself; rows of unknown
@@ -43,6 +43,8 @@ SENT = 48
 LEAST_SENT = 5
 #: Classes in one segment beyond which it is joined by its rarest uses only.
 MANY = 48
+#: Levels beyond this count as this one.
+TOP = 40
 BROADCAST_IDS = 2_000_000
 _classes: list[np.ndarray] = []
 
@@ -164,15 +166,18 @@ def candidate_classes(kinds: DataFrame) -> DataFrame:
 
     ``kinds`` has class, size, segments, is_eval and is_train, one row per class.
     """
-    # Size, number of segments sent and sides in one value: a third less to shuffle.
-    about = F.shiftleft(F.col("size").cast("long"), 24).bitwiseOR(F.shiftleft(F.size("segments").cast("long"), 2))
+    # Size, level, number of segments sent and sides in one value: a third less to shuffle. The
+    # level is the number of zero bits that all segments of a class end in.
+    zeros = lambda x: F.least(F.bit_count(x.bitwiseAND(-x) - F.lit(1).cast("long")), F.lit(TOP)).cast("int")
+    bits = F.shiftrightunsigned(F.aggregate("segments", F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(h)), 8)
+    about = F.shiftleft(F.col("size").cast("long"), 24).bitwiseOR(F.shiftleft(zeros(bits).cast("long"), 16)).bitwiseOR(F.shiftleft(F.size("segments").cast("long"), 2))
     about = about.bitwiseOR(F.when(F.col("is_eval"), 1).otherwise(0).cast("long")).bitwiseOR(F.when(F.col("is_train"), 2).otherwise(0).cast("long"))
     each = kinds.select(F.explode("segments").alias("h"), "class", about.alias("about"))
     is_eval, is_train = F.col("about").bitwiseAND(F.lit(1).cast("long")) > 0, F.col("about").bitwiseAND(F.lit(2).cast("long")) > 0
     common = each.groupBy("h").agg(F.count("*").alias("df"), F.max(is_eval).alias("e"), F.max(is_train).alias("t"))
     common = common.where("df > 1 and e and t").select("h", "df")
     rep = written(each.join(common, "h"), "segments")
-    sent = F.shiftright("about", 2).bitwiseAND(F.lit((1 << 22) - 1).cast("long"))
+    sent = F.shiftright("about", 2).bitwiseAND(F.lit((1 << 14) - 1).cast("long"))
 
     def met(x: DataFrame) -> DataFrame:
         side = lambda flag, c, *names: x.where(flag).select("h", F.col("class").alias(c), F.shiftright("about", 24).alias(names[0]), sent.alias(names[1]))
@@ -190,14 +195,30 @@ def candidate_classes(kinds: DataFrame) -> DataFrame:
     hot_a, hot_b = many.withColumnsRenamed({"class": "a", "hot": "hot_a"}), many.withColumnsRenamed({"class": "b", "hot": "hot_b"})
     rare = rare.join(hot_a, "a", "left").join(hot_b, "b", "left")
     rare = rare.where(F.col("n") + F.coalesce(F.size(F.array_intersect("hot_a", "hot_b")), F.lit(0)) >= need(F.col("sent"))).select("a", "b")
-    # A pair without a rarer segment in common has all it shares among the hot ones: at least
-    # 3 in 7 of the shorter text's segments on average, of which a quarter is asked for.
-    most = lambda n: F.when(n < SENT // 2, need(n)).otherwise(F.ceil(n * 0.25))
-    first = W.partitionBy("class").orderBy("df", "h")
-    hot = hot.join(many.select("class", F.size("hot").alias("n_hot")), "class").withColumn("rank", F.row_number().over(first))
-    hot = hot.where((F.col("n_hot") >= most(F.col("sent"))) & (F.col("rank") <= F.col("n_hot") - most(F.col("sent")) + 1))
-    alike = met(hot).groupBy("a", "b").agg(F.first(F.least("sent_a", "sent_b")).alias("sent")).join(hot_a, "a").join(hot_b, "b")
-    alike = alike.where(F.size(F.array_intersect("hot_a", "hot_b")) >= most(F.col("sent"))).select("a", "b")
+    # A pair without a rarer segment in common has all it shares among the hot ones, and among
+    # those of the higher level of the two (`at`), which both send: at least 3 in 7 of the shorter
+    # text's on average, of which a quarter is asked for, and two less of a sample.
+    most = lambda n: F.greatest(F.lit(1), F.when(F.col("at") == 0, F.ceil(F.least(n * 0.36 - 2, n * 0.25))).otherwise(F.ceil(n * 0.25) - 2))
+    level, size = F.shiftright("about", 16).bitwiseAND(F.lit(255).cast("long")).cast("int"), F.shiftright("about", 24)
+    deep = hot.withColumns({"level": level, "size": size, "octave": F.length(F.bin(size)), "zeros": zeros(F.shiftrightunsigned("h", 8))})
+    deep = deep.withColumn("at", F.explode(F.sequence("level", "zeros"))).withColumn("of", F.expr("shiftright(sent, at - level)"))
+    # A prefix must be long enough for the partner that asks for least. Partners are of sizes in
+    # the same or the next octave, and one of the two is of the level itself.
+    own = F.when(F.col("level") == F.col("at"), F.col("of"))
+    least = deep.groupBy("at", "octave").agg(F.min("of").alias("any_of"), F.min(own).alias("own_of"))
+    least = least.withColumn("octave", F.explode(F.array(F.col("octave") - 1, F.col("octave"), F.col("octave") + 1)))
+    least = least.groupBy("at", "octave").agg(F.min("any_of").alias("any_of"), F.min("own_of").alias("own_of")).where("own_of is not null")
+    each_level = W.partitionBy("class", "at")
+    deep = deep.join(F.broadcast(least), ["at", "octave"])
+    deep = deep.withColumns({"n_hot": F.count("*").over(each_level), "rank": F.row_number().over(each_level.orderBy("df", "h"))})
+    asked = most(F.least(F.col("of"), F.when(F.col("level") == F.col("at"), F.col("any_of")).otherwise(F.col("own_of"))))
+    deep = deep.withColumn("last", F.col("n_hot") + 1 - F.col("rank")).where(F.col("last") >= asked)
+    here = lambda flag, c: deep.where(flag).select("h", "at", F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "level", "of", "last")])
+    asked = most(F.least("of_a", "of_b"))
+    near = (F.col("size_a") <= 2 * F.col("size_b")) & (F.col("size_b") <= 2 * F.col("size_a")) & (F.col("a") != F.col("b")) & (F.greatest("level_a", "level_b") == F.col("at"))
+    alike = here(is_eval, "a").join(here(is_train, "b"), ["h", "at"]).where(near & (F.least("last_a", "last_b") >= asked))
+    alike = alike.groupBy("a", "b").agg(F.first(asked).alias("asked")).join(hot_a, "a").join(hot_b, "b")
+    alike = alike.where(F.size(F.array_intersect("hot_a", "hot_b")) >= F.col("asked")).select("a", "b")
     return rare.unionByName(alike).distinct()
 
 

@@ -181,6 +181,22 @@ def test_cross_split_brute_force(spark, monkeypatch, many):
     assert sum(r["n_pairs"] for r in cross_split.overlap_report(*tables).collect()) >= len(want)
 
 
+def test_cross_split_large_group_at_two_levels(spark):
+    base = [f"g{i}" for i in range(97)]
+    long = [[*base, *(f"long{i}x{k}" for k in range(3))] for i in range(60)]
+    short = [[*base[:96], f"short{i}"] for i in range(60)]
+    short += [[f"edit{i}x{k}" if k % 10 == i else w for k, w in enumerate(base)] for i in range(10)]
+    assert {len(x) - 4 for x in long} == {96} and {len(x) - 4 for x in short} == {93}
+    texts = [" ".join(x) for x in long + short]
+    splits = [(i, "v1", "heldout" if i < 8 or i >= 120 else "train") for i in range(len(texts))]
+    g = [grams(t) for t in texts]
+    evals, trains = [[i for i, _, s in splits if s == side] for side in ("heldout", "train")]
+    pairs = [(i, j) for i in evals for j in trains if 2 * len(g[i] & g[j]) >= len(g[i] | g[j])]
+    assert len({i for i, _ in pairs if i >= 120}) == 10
+    want = {("v1", *sorted((f"r{i}", f"r{j}"))) for i, j in pairs}
+    assert {tuple(r) for r in cross_split.overlapping_pairs(*split_tables(spark, texts, splits)).collect()} == want
+
+
 def test_cross_split_empty(spark):
     assert cross_split.overlapping_pairs(*split_tables(spark, ["a"], [])).count() == 0
     m, r, d = split_tables(spark, ["a"], [(0, "v1", "train")])
