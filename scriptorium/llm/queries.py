@@ -45,6 +45,11 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return cross_split.overlap_report(_t(spark, folder, "split_members"), _t(spark, folder, "doc_records"), _t(spark, folder, "documents"))
 
 
+def p3_edit(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = cross_split.edited_pairs(_t(spark, folder, "split_members"), _t(spark, folder, "doc_records"), _t(spark, folder, "documents"))
+    return pairs.select("splits_version", "train_doc", "eval_doc", "edits").distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return languages.language_cases(_t(spark, folder, "documents"))
 
@@ -77,4 +82,4 @@ def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_share(_t(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_splits, p2_report, p3_found, p3_report, p4_found, p4_languages, p5_packed, p5_report, p6_mixed, p6_report, p7_found, p7_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_splits, p2_report, p3_found, p3_report, p3_edit, p4_found, p4_languages, p5_packed, p5_report, p6_mixed, p6_report, p7_found, p7_shared)}

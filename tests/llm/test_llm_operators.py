@@ -157,9 +157,11 @@ def edited(words, rng, k):
     return out
 
 
-@pytest.mark.parametrize("many", [48, 2])
-def test_cross_split_brute_force(spark, monkeypatch, many):
-    monkeypatch.setattr(cross_split, "MANY", many)
+@pytest.mark.parametrize("hot, bits", [(50_000, 22), (2, 8), (10**9, 17)])
+def test_cross_split_brute_force(spark, monkeypatch, hot, bits):
+    monkeypatch.setattr(cross_split, "HOT", hot)
+    monkeypatch.setattr(cross_split, "CELL_BITS", bits)
+    monkeypatch.setattr(cross_split, "PAIRS", 50)
     rng, texts = random.Random(5), []
     vocabulary = [f"w{i}" for i in range(400)]
     notice = "this site kindly asks all readers to share and cite the whole page with care".split()
@@ -197,6 +199,47 @@ def test_cross_split_large_group_at_two_levels(spark):
     assert {tuple(r) for r in cross_split.overlapping_pairs(*split_tables(spark, texts, splits)).collect()} == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9)), min_size=1, max_size=8), st.integers(0, 4))
+def test_banded_distances(pairs, edits):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j - 1] + (x != y), old[j] + 1, row[-1] + 1))
+        return min(row[-1], edits + 1)
+
+    got = cross_split.banded_distances([np.array(a, np.int64) for a, _ in pairs], [np.array(b, np.int64) for _, b in pairs], edits)
+    assert got.tolist() == [distance(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("edits", [3, 6])
+def test_edited_pairs_brute_force(spark, edits):
+    rng, texts = random.Random(15), []
+    for _ in range(25):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.choice([19, 20, 23, 60, 200]))]
+        texts += [" ".join(edited(base, rng, k)) for k in (0, 0, 1, 2, 3, 4, 5, 6, 8)]
+    splits = [(i, "v1", "train" if rng.random() < 0.6 else "dev") for i in range(len(texts))]
+    words = [plain_words(t) for t in texts]
+    want = set()
+    for (i, _, s), (j, _, t) in itertools.product(splits, splits):
+        if s == "train" and t == "dev" and min(len(words[i]), len(words[j])) >= 20 and abs(len(words[i]) - len(words[j])) <= edits:
+            d = cross_split.banded_distances([np.array([hash(w) for w in words[i]])], [np.array([hash(w) for w in words[j]])], edits)[0]
+            if d <= edits:
+                want.add((f"r{i}", f"r{j}", int(d)))
+    got = cross_split.edited_pairs(*split_tables(spark, texts, splits), edits).select("train_doc", "eval_doc", "edits").collect()
+    assert {tuple(r) for r in got} == want and len(want) > 50
+
+
+def test_cross_split_repeated_ids(spark):
+    words = [" ".join(f"{x}{i}" for i in range(60)) for x in "ab"]
+    m, r, d = split_tables(spark, [words[0], words[0], words[1], words[1]], [(0, "v1", "train"), (1, "v1", "dev"), (2, "v1", "train"), (3, "v1", "dev")])
+    d = d.unionByName(d).unionByName(docs(spark, [(3, words[0], "s", "la", None)]))  # rows repeated, and one id with two texts
+    got = {tuple(x) for x in cross_split.overlapping_pairs(m, r, d).collect()}
+    assert got == {("v1", "r0", "r1"), ("v1", "r2", "r3"), ("v1", "r0", "r3")}
+
+
 def test_cross_split_empty(spark):
     assert cross_split.overlapping_pairs(*split_tables(spark, ["a"], [])).count() == 0
     m, r, d = split_tables(spark, ["a"], [(0, "v1", "train")])
