@@ -7,8 +7,10 @@ before any shuffle by key. Method: frontier breadth-first search. The adjacency
 are hash-partitioned and written; every key that is least by hash among its neighbours
 is a seed, so each component has one; all seeds expand one hop at a time; where two
 seeds reach the same key their labels become an edge of a smaller graph, which is
-solved the same way and, once of a bounded size, by union-find in one task. Adjacency
-stays as rows, so an author with a third of all records is many rows, not one list.
+solved the same way and, once of a bounded size, by union-find in one task. On either way
+a component is named after its least node by hash, so the splits do not depend on the
+bound. Adjacency stays as rows, so an author with a third of all records is many rows,
+not one list.
 
 Defined results: a record without author and work (null or unreadable path, unknown
 author, title of one word) is tied to nothing and is its own group; repeated rows of a
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote
 
 import numpy as np
@@ -31,6 +34,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.lineage import forget, written
+from scriptorium.llm import texthash as H
+from scriptorium.llm.group_pairs import pairs_within
 
 # Words that stand for an unknown author.
 UNKNOWN_AUTHORS = ("_", "anon", "anonymous", "anonymus", "anonimo", "anonyme", "ignoto", "ignotus", "incerti auctoris", "incertus", "n n", "nn", "sans nom", "senza nome", "unbekannt", "unknown", "inconnu", "sconosciuto")
@@ -93,18 +98,31 @@ def _author(text: str, forenames: dict[str, int]) -> str | None:
 
 def _key(kind: str, text: str) -> int:
     h = np.frombuffer(f"{kind}:{text}".encode("utf-32-le", "surrogatepass"), np.uint32)
-    from scriptorium.llm import texthash as H
-
     sums = H.prefix(h)
     return int(H.spans(sums, np.array([0]), np.array([len(h)])).view(np.int64)[0])
 
 
+def _keys_by_name(forenames: dict[str, int]):
+    """Keys of an author and of a title as written; names repeat, so the last 2^16 are kept."""
+
+    @lru_cache(1 << 16)
+    def author(text: str) -> int | None:
+        name = _author(text, forenames)
+        return _key("author", name) if name else None
+
+    @lru_cache(1 << 16)
+    def work(text: str) -> int | None:
+        title = _title(text)
+        return _key("work", title) if " " in title else None
+
+    return author, work
+
+
 def path_keys(path: str | None, forenames: dict[str, int]) -> tuple[int | None, int | None]:
     """64-bit keys of the author and the work named in a path; None where none is named."""
+    named, titled = _keys_by_name(forenames)
     author, title = path_parts(path or "")
-    name = _author(author, forenames)
-    work = _title(title)
-    return (_key("author", name) if name else None, _key("work", work) if " " in work else None)
+    return named(author), titled(title)
 
 
 def keyed_records(doc_records: DataFrame, forename_forms: DataFrame) -> DataFrame:
@@ -118,8 +136,10 @@ def keyed_records(doc_records: DataFrame, forename_forms: DataFrame) -> DataFram
                     forms.setdefault(w, row["name_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named, titled = _keys_by_name(forms)
         for batch in batches:
-            keys = [path_keys(p, forms) for p in batch.column("path").to_pylist()]
+            parts = [path_parts(p or "") for p in batch.column("path").to_pylist()]
+            keys = [(named(a), titled(t)) for a, t in parts]
             yield pa.record_batch([batch.column("rec"), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["rec", "author", "work"])
 
     paths = doc_records.where("doc_id is not null").select(F.col("doc_id").alias("rec"), F.col("source_path").alias("path")).distinct()
@@ -127,9 +147,9 @@ def keyed_records(doc_records: DataFrame, forename_forms: DataFrame) -> DataFram
 
 
 def _union_find(table: pa.Table) -> pa.Table:
-    parent: dict[int, int] = {}
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
 
-    def find(x: int) -> int:
+    def find(x: tuple[int, int]) -> tuple[int, int]:
         root = x
         while parent.setdefault(root, root) != root:
             root = parent[root]
@@ -137,48 +157,56 @@ def _union_find(table: pa.Table) -> pa.Table:
             parent[x], x = root, parent[x]
         return root
 
-    for a, b in zip(table["u"].to_pylist(), table["v"].to_pylist()):
+    hu, u, hv, v = (table[c].to_pylist() for c in ("hu", "u", "hv", "v"))
+    for a, b in zip(zip(hu, u), zip(hv, v)):
         x, y = find(a), find(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
     nodes = list(parent)
-    return pa.table([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+    return pa.table([pa.array([x[1] for x in nodes], pa.int64()), pa.array([find(x)[1] for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def frontier_components(edges: DataFrame, seeds_met: bool = False) -> DataFrame:
     """(node, component) of an undirected graph with rows (u, v); only nodes that have an edge. Written.
 
-    ``component`` is one of the nodes. Self loops give single nodes. ``seeds_met`` marks
-    a graph of colliding seeds; if small, one task solves it.
+    ``component`` is the node least by hash. Self loops give single nodes. ``seeds_met``
+    marks a graph of colliding seeds; if small, one task solves it.
     """
     edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     if seeds_met and edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
-        return written(edges.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _union_find(t), "node long, component long"), "components")
+        hashed = edges.select(F.xxhash64("u").alias("hu"), "u", F.xxhash64("v").alias("hv"), "v")
+        return written(hashed.groupBy(F.lit(0).alias("all")).applyInArrow(lambda t: _union_find(t), "node long, component long"), "components")
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     adjacency = written(both.repartition("u"), "adjacency")
     order = lambda c: F.struct(F.xxhash64(c), F.col(c))
     seeds = adjacency.groupBy("u").agg(F.min(order("v")).alias("least")).where(order("u") <= F.col("least"))
-    labels = written(seeds.select(F.col("u").alias("node"), F.col("u").alias("seed")), "labels")
-    frontier, meetings = labels, []
+    # Labels are never rewritten: each hop adds a table of the nodes it reached first.
+    labels = [written(seeds.select(F.col("u").alias("node"), F.col("u").alias("seed")), "labels")]
+    meetings: list[DataFrame] = []
     while True:
-        reach = frontier.join(adjacency, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "seed").distinct()
-        known = labels.withColumnRenamed("seed", "old")
+        reach = labels[-1].join(adjacency, F.col("node") == F.col("u")).select(F.col("v").alias("node"), "seed").distinct()
+        known = _all(labels).withColumnRenamed("seed", "old")
         reach = written(reach.join(known, "node", "left"), "reach")
-        fresh = written(reach.where("old is null").groupBy("node").agg(F.min("seed").alias("seed")), "fresh")
+        fresh = written(reach.where("old is null").groupBy("node").agg(F.min("seed").alias("seed")), "labels")
         met = reach.join(fresh.withColumnRenamed("seed", "new"), "node", "left")
         met = met.select(F.col("seed").alias("u"), F.coalesce("old", "new").alias("v")).where("u != v").distinct()
         meetings.append(written(met, "met"))
         forget(reach)
         if fresh.isEmpty():
             break
-        joined = written(labels.unionByName(fresh), "labels")
-        labels, frontier = joined, fresh
-    small = meetings[0]
-    for met in meetings[1:]:
-        small = small.unionByName(met)
-    merged = frontier_components(small, True).withColumnRenamed("node", "seed")
-    out = labels.join(merged, "seed", "left").select("node", F.coalesce("component", "seed").alias("component"))
-    return written(out, "components")
+        labels.append(fresh)
+    merged = frontier_components(_all(meetings), True)
+    out = _all(labels).join(merged.withColumnRenamed("node", "seed"), "seed", "left").select("node", F.coalesce("component", "seed").alias("component"))
+    out = written(out, "components")
+    forget(edges, adjacency, merged, *labels, *meetings)
+    return out
 
 
 def grouped_records(doc_records: DataFrame, forename_forms: DataFrame) -> DataFrame:
@@ -197,8 +225,7 @@ def grouped_records(doc_records: DataFrame, forename_forms: DataFrame) -> DataFr
 def tied_pairs(doc_records: DataFrame, forename_forms: DataFrame) -> DataFrame:
     """(doc_a, doc_b): every pair of different records that belong together, the smaller doc_id first."""
     groups = grouped_records(doc_records, forename_forms)
-    a, b = groups.select("grp", F.col("rec").alias("doc_a")), groups.select("grp", F.col("rec").alias("doc_b"))
-    return a.join(b, "grp").where("doc_a < doc_b").select("doc_a", "doc_b")
+    return pairs_within(groups, "grp", "rec").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
 # Spellings of the four languages.

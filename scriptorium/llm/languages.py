@@ -10,7 +10,10 @@ to the second-nearest distance.
 Profiles are fitted on a sample of labelled documents bounded by ``SAMPLE_DOCS``
 (those least by hash, whole texts); classification covers every line of every document
 in one pass without a shuffle. The site's own lines are left out: lines that carry the
-name of a source, and page lines.
+name of the document's source as a word, and page lines (a word, a number, a short word,
+a number at the start). The confidence of a document is the share of its letters, in
+lines of at least 40, that lie in lines of its language; where no line is that long, and
+for lines, it is the ratio described above.
 
 Defined results: null, empty and short texts (under 100 letters) get no language; null
 ``doc_id`` rows are ignored; rows are classified one by one, so repeated rows repeat
@@ -20,10 +23,11 @@ without readable labels gives an empty result.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +41,9 @@ from scriptorium.llm.grouped_splits import plain_language
 LANGUAGES = ("latin", "italian", "german", "french")
 PROFILE, SAMPLE_DOCS = 400, 6000
 LEAST_LINE, LEAST_DOC = 40, 100
-#: Names of sources kept in the automaton of site lines (a name takes about 100 bytes);
-#: a document's own source is looked for whatever their number.
-MOST_SOURCES = 200_000
+#: Letters a name of a source must have to be looked for.
+LEAST_NAME = 4
+_PAGE = re.compile(r"[\W_]*[^\W\d_]+[\W_]+\d+[\W_]+[^\W\d_]{1,4}[\W_]+\d+(?!\w)")
 _tables: list[np.ndarray] = []
 
 
@@ -58,49 +62,25 @@ def _classes() -> np.ndarray:
     return _tables[0]
 
 
-def site_names(documents: DataFrame) -> list[str]:
-    """The names of all sources, in lower case, with blanks and underscores as written and swapped."""
-    rows = documents.select(F.lower(F.trim("source")).alias("s")).where("length(s) >= 4").distinct().limit(MOST_SOURCES).collect()
-    return sorted({x for r in rows for x in (r[0], r[0].replace("_", " "))})
+@lru_cache(1 << 12)
+def _name(own: str) -> tuple[tuple[str, ...], re.Pattern]:
+    """The spellings of a source's name in lower case, and a pattern of them as words."""
+    spellings = tuple(dict.fromkeys((own, own.replace("_", " "))))
+    return spellings, re.compile("(?<![^\\W_])(?:" + "|".join(map(re.escape, spellings)) + ")(?![^\\W_])")
 
 
-def _automaton(names: list[str]):
-    a = ahocorasick.Automaton()
-    for name in names:
-        a.add_word(name, len(name))
-    if names:
-        a.make_automaton()
-    return a
-
-
-def _page_line(line: str) -> bool:
-    words = line.lower().split()
-    while words and not any(c.isalnum() for c in words[0]):
-        words.pop(0)
-    if len(words) < 4 or words[0].lstrip("[(*").rstrip(".:") not in ("page", "pagina", "seite", "pag", "folio", "fol", "blatt"):
-        return False
-    return words[1].strip(".,").isdigit() and words[3].strip(".,;)").isdigit()
-
-
-def _site_lines(text: str, own: str, starts: np.ndarray, automaton) -> list[int]:
-    """Numbers (from 0) of the lines of ``text`` that belong to the site; ``own`` is the name of its source."""
-    out = []
+def _site_lines(text: str, own: str) -> list[int]:
+    """Numbers (from 0) of the lines of ``text`` with the name of its source as a word."""
+    if len(own) < LEAST_NAME:
+        return []
+    spellings, pattern = _name(own)
     low = text.lower()
-    if len(own) >= 4 and own not in automaton and own in low:
-        out = [k for k, line in enumerate(text.split("\n")) if own in line.lower()]
-    if len(automaton) and len(low) == len(text):
-        for end, size in automaton.iter(low):
-            before, after = low[end - size] if end >= size else " ", low[end + 1] if end + 1 < len(low) else " "
-            if not before.isalnum() and not after.isalnum():
-                out.append(int(np.searchsorted(starts, end, "right")) - 1)
-    elif len(automaton):
-        for k, line in enumerate(text.split("\n")):
-            if any(True for _ in automaton.iter(line.lower())):
-                out.append(k)
-    return out
+    if not any(x in low for x in spellings):
+        return []
+    return [k for k, line in enumerate(text.split("\n")) if pattern.search(line.lower())]
 
 
-def _trigrams(texts: list[str], owns: list[str], automaton):
+def _trigrams(texts: list[str], owns: list[str]):
     """(line of each trigram, code, letters per line, document of each line, first line of each document)."""
     c = H.points("\n".join(texts) + "\n")
     ends = np.flatnonzero(c == 10)
@@ -114,14 +94,12 @@ def _trigrams(texts: list[str], owns: list[str], automaton):
     letters = np.bincount(line[(kind > 0) & (kind < 28)], minlength=len(ends))
     site = np.zeros(len(ends), bool)
     for d, text in enumerate(texts):
-        a = first_line[d]
-        b = first_line[d + 1] if d + 1 < len(texts) else len(ends)
-        for k in _site_lines(text, owns[d], starts[a:b] - first_char[d], automaton):
-            site[a + k] = True
+        for k in _site_lines(text, owns[d]):
+            site[first_line[d] + k] = True
     digit = (c >= 48) & (c <= 57)
     for k in np.flatnonzero((np.bincount(line[digit], minlength=len(ends)) >= 2) & ~site & (letters >= 10)):
         d = doc_of[k]
-        if _page_line(texts[d][starts[k] - first_char[d] : ends[k] - first_char[d]]):
+        if _PAGE.match(texts[d][starts[k] - first_char[d] : ends[k] - first_char[d]]):
             site[k] = True
     keep = kind != 28
     kind, line = kind[keep], line[keep]
@@ -146,7 +124,7 @@ def _some(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str], list[str]]]:
         yield at, texts[at:], owns[at:]
 
 
-def language_profiles(documents: DataFrame, names: list[str], sample_docs: int = SAMPLE_DOCS, profile: int = PROFILE) -> dict[str, list[int]]:
+def language_profiles(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, profile: int = PROFILE) -> dict[str, list[int]]:
     """The most frequent trigram codes of each language, most frequent first."""
     total = documents.count()
     docs = documents.select(plain_language(F.col("lang")).alias("language"), "text", "doc_id", F.lower(F.trim("source")).alias("own")).where("language is not null and text is not null")
@@ -154,12 +132,11 @@ def language_profiles(documents: DataFrame, names: list[str], sample_docs: int =
         docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(int((1 << 40) * sample_docs / total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(names)
         sums = np.zeros((len(LANGUAGES), 27**3), np.int64)
         for batch in batches:
             labels = np.array([LANGUAGES.index(x) for x in batch.column("language").to_pylist()], np.int64)
             for at, some, owns in _some(batch):
-                line, code, _, _, doc_of, _ = _trigrams(some, owns, automaton)
+                line, code, _, _, doc_of, _ = _trigrams(some, owns)
                 np.add.at(sums, (labels[at:][doc_of[line]], code), 1)
         lang, code = np.nonzero(sums)
         yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(sums[lang, code])], names=["lang", "code", "n"])
@@ -197,7 +174,7 @@ def _best(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[:, 0], np.where(two > 0, 1 - one / np.maximum(two, 1e-9), 0.0)
 
 
-def _classify(profiles: dict[str, list[int]], names: list[str]):
+def _classify(profiles: dict[str, list[int]]):
     langs = [x for x in LANGUAGES if x in profiles]
     known: dict[int, int] = {}
     for place in range(max(map(len, profiles.values()))):  # numbered by rank, so ties of a text follow general frequency
@@ -212,11 +189,10 @@ def _classify(profiles: dict[str, list[int]], names: list[str]):
     names_of = np.array(langs, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(names)
         for batch in batches:
             ids, labels = batch.column("doc_id").to_numpy(zero_copy_only=False), np.array(batch.column("label").to_pylist(), object)
             for at, some, owns in _some(batch):
-                line, code, letters, site, doc_of, first_line = _trigrams(some, owns, automaton)
+                line, code, letters, site, doc_of, first_line = _trigrams(some, owns)
                 n, m = len(some), len(letters)
                 gram = gram_of[code].astype(np.int64)
                 line, gram = line[gram >= 0], gram[gram >= 0]
@@ -257,13 +233,12 @@ def languages(documents: DataFrame) -> DataFrame:
     ``line_no`` 0 is the document; from 1, lines of at least 40 letters in another
     language than the document. ``label`` is the record's label in plain spelling.
     """
-    names = site_names(documents)
-    profiles = language_profiles(documents, names)
+    profiles = language_profiles(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", plain_language(F.col("lang")).alias("label"), F.lower(F.trim("source")).alias("own"))
     docs = spread(docs).where("doc_id is not null and text is not null")
     if len(profiles) < 2:
         return docs.sparkSession.createDataFrame([], SCHEMA)
-    return docs.mapInArrow(_classify(profiles, names), SCHEMA)
+    return docs.mapInArrow(_classify(profiles), SCHEMA)
 
 
 def language_cases(documents: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ empty result.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,30 +32,31 @@ from scriptorium.llm.token_sizes import token_count
 
 #: Tokens of a shard of one source, and blocks per mix.
 SHARD_TOKENS, BLOCKS = 2_000_000, 1_000_000
+#: Shards that are apportioned together; a larger source is first apportioned to groups of so many.
+GROUP_SHARDS = 4096
 
 
 def sainte_lague(weights: list[float], seats: int, caps: list[float]) -> list[int]:
     """Seats by highest quotients weight / (2 s + 1), no entry beyond its cap (in seats); ties go to the earlier entry."""
-    n = len(weights)
-    caps = [int(min(c, seats)) if w > 0 else 0 for w, c in zip(weights, caps)]
-    seats = min(int(seats), sum(caps))
+    weights = np.asarray(weights, np.float64)
+    caps = np.where(weights > 0, np.minimum(np.asarray(caps, np.float64), max(seats, 0)), 0).astype(np.int64)
+    seats = min(int(seats), int(caps.sum()))
+    got = np.zeros(len(weights), np.int64)
     if seats <= 0:
-        return [0] * n
-
-    def won(price: float) -> list[int]:
-        return [min(c, int(w / price / 2 + 0.5)) if w > 0 else 0 for w, c in zip(weights, caps)]
-
-    low, high = 0.0, 2 * max(weights)
+        return got.tolist()
+    low, high = 0.0, 2 * weights.max()
     for _ in range(200):
         mid = (low + high) / 2
         if mid in (low, high):
             break
-        low, high = (mid, high) if sum(won(mid)) >= seats else (low, mid)
-    got = won(high)
-    while sum(got) < seats:
-        best = max((k for k in range(n) if got[k] < caps[k]), key=lambda k: (weights[k] / (2 * got[k] + 1), -k))
-        got[best] += 1
-    return got
+        won = np.minimum(caps, weights / mid / 2 + 0.5).astype(np.int64)
+        low, high = (mid, high) if won.sum() >= seats else (low, mid)
+    got = np.minimum(caps, weights / high / 2 + 0.5).astype(np.int64)
+    while (rest := seats - int(got.sum())) > 0:
+        quotients = np.where(got < caps, weights / (2 * got + 1), -1.0)
+        best = np.argsort(-quotients, kind="stable")[:rest]
+        got[best[quotients[best] > 0]] += 1
+    return got.tolist()
 
 
 def _sized(documents: DataFrame) -> DataFrame:
@@ -87,13 +89,31 @@ def quotas(documents_sized: DataFrame, mix_targets: DataFrame) -> DataFrame:
     return targets.select("mix_name", "source", "weight", "max_repeats", "size_ratio", "held").groupBy("mix_name").applyInPandas(_quotas, schema)
 
 
-def _shard_quotas(shards: pd.DataFrame) -> pd.DataFrame:
-    shards = shards.sort_values("shard", kind="stable").reset_index(drop=True)
-    quota, held = shards["quota"].iloc[0], shards["held"].iloc[0]
-    full = int(quota // held) if held else 0
-    rest = int(round(quota - full * held))
-    seats = sainte_lague(shards["tokens"].astype(float).tolist(), rest, shards["tokens"].tolist())
-    return shards.assign(times=full, rest=seats)[["mix_name", "source", "shard", "times", "rest"]]
+def _apportioned(name: str):
+    """Seats (``rest``) of the rows' groups or shards by the tokens they hold."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(name, kind="stable").reset_index(drop=True)
+        return rows.assign(rest=sainte_lague(rows["tokens"], int(rows["seats"].iloc[0]), rows["tokens"])).drop(columns=["tokens", "seats"])
+
+    return run
+
+
+def shard_quotas(wanted: DataFrame, shards: DataFrame) -> DataFrame:
+    """(mix_name, source, shard, times, rest): how often a shard is used whole, and the tokens of one more use.
+
+    ``wanted`` has mix_name, source, held and quota, ``shards`` source, shard and tokens.
+    A source of more than GROUP_SHARDS shards is apportioned in two levels, so no task
+    sees all shards of a source; shards of a group are alike in size, and so are groups.
+    """
+    shards = shards.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS))
+    times = F.when(F.col("held") > 0, F.floor(F.col("quota") / F.col("held"))).otherwise(0).cast("long")
+    plan = wanted.select("mix_name", "source", times.alias("times"), F.round(F.col("quota") - times * F.col("held")).cast("long").alias("seats"))
+    groups = plan.join(shards.groupBy("source", "group").agg(F.sum("tokens").alias("tokens")), "source")
+    groups = groups.groupBy("mix_name", "source").applyInPandas(_apportioned("group"), "mix_name string, source string, times long, group long, rest long")
+    each = groups.withColumnRenamed("rest", "seats").join(shards, ["source", "group"]).select("mix_name", "source", "times", "group", "shard", "tokens", "seats")
+    each = each.groupBy("mix_name", "source", "group").applyInPandas(_apportioned("shard"), "mix_name string, source string, times long, group long, shard long, rest long")
+    return each.select("mix_name", "source", "shard", "times", "rest")
 
 
 def mixed(documents: DataFrame, mix_targets: DataFrame, seed: int = 0) -> DataFrame:
@@ -105,10 +125,8 @@ def mixed(documents: DataFrame, mix_targets: DataFrame, seed: int = 0) -> DataFr
     placed = sized.join(cut, "source").withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
     placed = written(placed.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), "shards")).select("doc_id", "source", "size", "shard", "order"), "placed")
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("tokens"))
-    wanted = plan.where("quota > 0").select("mix_name", "source", "held", "quota").join(shards, "source")
-    schema = "mix_name string, source string, shard long, times long, rest long"
     # One row per mix, source and shard of two million tokens: small next to the texts.
-    by_shard = wanted.groupBy("mix_name", "source").applyInPandas(_shard_quotas, schema)
+    by_shard = shard_quotas(plan.where("quota > 0").select("mix_name", "source", "held", "quota"), shards)
     run = F.sum("size").over(W.partitionBy("source", "shard").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, 0))
     drawn = placed.withColumn("upto", run).join(by_shard, ["source", "shard"])
     # The document across the end of the rest is taken if most of it lies within.

@@ -109,9 +109,11 @@ def packed(documents: DataFrame, containers: DataFrame, apart_sources: bool = Fa
     first = part.withColumn("shard", F.pmod(F.xxhash64("doc_id"), shards[F.col("container_kind")]).cast("long"))
     first = written(first.groupBy("container_kind", "shard").applyInArrow(_pack("a", apart_sources), PIECES), "packed")
     used = first.groupBy("container").agg(F.sum("n_tokens").alias("used"), F.first("capacity").alias("of"), F.first("container_kind").alias("kind"), F.count("*").alias("items"))
-    loose = written(used.where(F.col("used") < F.col("of") * (1 - REOPEN)).select("container", "kind", "items"), "loose")
+    # A kind of one shard is packed as well as it can be, whatever the others are.
+    cut = [k for k, n in counts.items() if n > SHARD_ITEMS]
+    loose = written(used.where(F.col("kind").isin(cut) & (F.col("used") < F.col("of") * (1 - REOPEN))).select("container", "kind", "items"), "loose")
     many = {r[0]: r[1] for r in loose.groupBy("kind").agg(F.sum("items")).collect()}
-    if not many or max(counts.values()) <= SHARD_ITEMS:
+    if not many:
         return full.unionByName(first.select(keep))
     again = F.create_map(*[x for k, n in many.items() for x in (F.lit(k), F.lit(max(1, -(-n // SHARD_ITEMS))))])
     second = first.join(loose.select("container"), "container", "left_semi").drop("container")

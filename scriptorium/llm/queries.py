@@ -62,6 +62,10 @@ def p5_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_t(spark, folder, "documents"), _t(spark, folder, "containers"))
 
 
+def p5_apart(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_t(spark, folder, "documents"), _t(spark, folder, "containers"), apart_sources=True)
+
+
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p5_packed(spark, folder))
 
@@ -82,4 +86,4 @@ def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_spans.shared_share(_t(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_splits, p2_report, p3_found, p3_report, p3_edit, p4_found, p4_languages, p5_packed, p5_report, p6_mixed, p6_report, p7_found, p7_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_blocks, p1_clean, p2_found, p2_splits, p2_report, p3_found, p3_report, p3_edit, p4_found, p4_languages, p5_packed, p5_apart, p5_report, p6_mixed, p6_report, p7_found, p7_shared)}

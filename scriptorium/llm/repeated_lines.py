@@ -28,6 +28,8 @@ from scriptorium.lineage import spread, written
 
 #: Lines in one suffix-sorted shard.
 SHARD_LINES = 150_000
+#: Lines to drop up to which their list is broadcast (about 16 bytes each).
+BROADCAST_LINES = 1_000_000
 
 
 def line_keys(text: Column, least_runs: int = 5) -> Column:
@@ -221,19 +223,35 @@ def repeated_blocks(documents: DataFrame, share: float = 0.15, least: int = 4, *
     return kept.select("source", F.size("block").alias("n_lines"), "n_docs", "block")
 
 
+def _text_key(keys: Column) -> Column:
+    """Tells rows with one doc_id and different texts apart."""
+    return F.xxhash64(F.coalesce(keys, F.array().cast("array<bigint>")))
+
+
+def _kept(texts: DataFrame, gone: Column) -> DataFrame:
+    """(doc_id, source, text, n_removed): ``gone`` tells for a line number from 0, with its key, whether it goes."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), i.alias("no")))
+    parts = F.filter(lines, lambda x: ~gone(x["no"]))
+    cut = F.size(lines) - F.size(parts)
+    clean = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, lambda x: x["line"]), "\n"))
+    removed = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(cut)
+    return texts.select("doc_id", "source", clean.alias("text"), removed.cast("int").alias("n_removed"))
+
+
 def without_repeated_lines(documents: DataFrame, share: float = 0.15, least: int = 4) -> DataFrame:
     """(doc_id, source, text, n_removed): each text without the lines its source repeats excessively.
 
     A document without such lines, without text or without source keeps its text as it is.
+    The list of lines to drop is broadcast after counting it; where it is too long, texts
+    meet the numbers of their own lines by ``doc_id``, never all texts of a source by name.
     """
     lines = keyed_lines(documents)
-    keys = repeated_keys(lines, share, least).where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1)
-    drop = keys.groupBy("source").agg(F.collect_set("key").alias("drop"))
-    docs = documents.select("doc_id", "source", "text").join(drop, "source", "left")
-    parts = F.filter(
-        F.arrays_zip(F.split("text", "\n").alias("line"), line_keys(F.col("text")).alias("key")),
-        lambda x: ~F.array_contains(F.col("drop"), x["key"]),
-    )
-    clean = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(parts, lambda x: x["line"]), "\n"))
-    cut = F.when(F.col("drop").isNull() | F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")) - F.size(parts))
-    return docs.select("doc_id", "source", clean.alias("text"), cut.cast("int").alias("n_removed"))
+    keys = written(repeated_keys(lines, share, least).where(F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1).select("source", "key"), "repeated")
+    docs = documents.select("doc_id", "source", "text")
+    if keys.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        drop = keys.groupBy("source").agg(F.collect_set("key").alias("drop"))
+        placed = docs.join(F.broadcast(drop), "source", "left").withColumn("keys", F.when(F.col("drop").isNotNull(), line_keys(F.col("text"))))
+        return _kept(placed, lambda i: F.array_contains("drop", F.col("keys")[i]))
+    each = lines.select("doc_id", "source", _text_key(F.col("keys")).alias("of"), F.posexplode("keys").alias("no", "key"))
+    drop = each.join(keys, ["source", "key"], "left_semi").groupBy("doc_id", "source", "of").agg(F.collect_set("no").alias("drop"))
+    return _kept(docs.withColumn("of", _text_key(line_keys(F.col("text")))).join(drop, ["doc_id", "source", "of"], "left"), lambda i: F.array_contains("drop", i))

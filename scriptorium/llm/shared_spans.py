@@ -9,7 +9,8 @@ occurs. A second pass over the texts keeps only the windows estimated as repeate
 groups them exactly. Pairs of equal windows on one diagonal are chained; a chain of
 at least ``length`` characters is a case, a shorter one is settled against the texts.
 Windows in very many places are not paired: all spans of ``length`` characters around
-them are hashed and grouped, and each pair that comes from there is a case.
+them are hashed and grouped. Spans with the same set of documents are expanded into
+pairs once, in blocks of documents.
 
 The sketch has at most 2^28 cells a row (64 MB as bits for both), whatever the input;
 where the input outgrows it, more windows pass on to the exact grouping and none is lost.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.lineage import spread, written
 from scriptorium.llm import texthash as H
+from scriptorium.llm.group_pairs import pairs_within
 
 LENGTH, WINDOW = 300, 200
 #: Occurrences beyond which a window is settled by hashing the spans around it.
@@ -71,7 +73,7 @@ def _cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h & mask).astype(np.int64), ((h >> np.uint64(33)) * np.uint64(0x9E3779B1) >> np.uint64(3) & mask).astype(np.int64))
 
 
-def _partial_sketch(bits: int, length: int, window: int):
+def _partial_sketch(bits: int, chunk_bits: int, length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: list[list[np.ndarray]] = [[], []]
 
@@ -81,8 +83,8 @@ def _partial_sketch(bits: int, length: int, window: int):
                     continue
                 cell, times = np.unique(np.concatenate(cells[row]), return_counts=True)
                 cells[row] = []
-                chunk = cell >> CHUNK_BITS
-                low = (cell & ((1 << CHUNK_BITS) - 1)).astype(np.uint16)
+                chunk = cell >> chunk_bits
+                low = (cell & ((1 << chunk_bits) - 1)).astype(np.uint16)
                 first = np.flatnonzero(np.diff(chunk, prepend=-1))
                 ends = np.append(first[1:], len(chunk))
                 once = [low[a:b].tobytes() for a, b in zip(first, ends)]
@@ -103,14 +105,16 @@ def _partial_sketch(bits: int, length: int, window: int):
     return run
 
 
-def _merge_sketch(table: pa.Table) -> pa.Table:
-    size = 1 << CHUNK_BITS
-    seen, twice = np.zeros(size, np.int32), np.zeros(size, bool)
-    for once, more in zip(table["once"].to_pylist(), table["more"].to_pylist()):
-        seen[np.frombuffer(once, np.uint16)] += 1
-        twice[np.frombuffer(more, np.uint16)] = True
-    bits = np.packbits(twice | (seen > 1)).tobytes()
-    return pa.table([pa.array([table["part"][0].as_py()], pa.int64()), pa.array([bits], pa.binary())], names=["part", "bits"])
+def _merge_sketch(chunk_bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        seen, twice = np.zeros(1 << chunk_bits, np.int32), np.zeros(1 << chunk_bits, bool)
+        for once, more in zip(table["once"].to_pylist(), table["more"].to_pylist()):
+            seen[np.frombuffer(once, np.uint16)] += 1
+            twice[np.frombuffer(more, np.uint16)] = True
+        bits = np.packbits(twice | (seen > 1)).tobytes()
+        return pa.table([pa.array([table["part"][0].as_py()], pa.int64()), pa.array([bits], pa.binary())], names=["part", "bits"])
+
+    return run
 
 
 def repeated_sketch(docs: DataFrame, length: int, window: int):
@@ -119,8 +123,8 @@ def repeated_sketch(docs: DataFrame, length: int, window: int):
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     windows = max(1, int(2 * chars / (length - window + 2)))
     bits = min(MOST_CELL_BITS, max(CHUNK_BITS, int(np.ceil(np.log2(4 * windows)))))
-    parts = docs.mapInArrow(_partial_sketch(bits, length, window), "part long, once binary, more binary")
-    merged = parts.groupBy("part").applyInArrow(_merge_sketch, "part long, bits binary")
+    parts = docs.mapInArrow(_partial_sketch(bits, CHUNK_BITS, length, window), "part long, once binary, more binary")
+    merged = parts.groupBy("part").applyInArrow(_merge_sketch(CHUNK_BITS), "part long, bits binary")
     flags = np.zeros((2, 1 << (bits - 3)), np.uint8)
     step = 1 << (CHUNK_BITS - 3)
     for part, packed in merged.toLocalIterator():
@@ -170,20 +174,33 @@ def _spans_around(length: int, window: int):
     return run
 
 
-def _extend(length: int, window: int):
-    room = length - window
+def _common(s: str, i: int, t: str, j: int, step: int) -> int:
+    """Characters in which s from i and t from j agree, forwards (step 1) or, before i and j, backwards (step -1)."""
+    most = min(len(s) - i, len(t) - j) if step > 0 else min(i, j)
+    same = (lambda a, b: s[i + a : i + b] == t[j + a : j + b]) if step > 0 else (lambda a, b: s[i - b : i - a] == t[j - b : j - a])
+    low, width = 0, 64
+    while low < most:
+        high = min(low + width, most)
+        if not same(low, high):
+            while high - low > 1:  # the first difference lies in [low, high)
+                middle = (low + high) // 2
+                low, high = (middle, high) if same(low, middle) else (low, middle)
+            return low
+        low, width = high, 2 * width
+    return low
 
+
+def _extend(length: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("a", "b", "pa", "pb", "len", "ta", "tb")]
             out = []
-            for a, b, i, j, n, s, t in zip(*cols):
-                while i and j and s[i - 1] == t[j - 1]:
-                    i, j, n = i - 1, j - 1, n + 1
-                while i + n < len(s) and j + n < len(t) and s[i + n] == t[j + n]:
-                    n += 1
-                if n >= length:
-                    out.append((a, b, i, j, n))
+            for a, b, runs, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "runs", "ta", "tb"))):
+                for run_ in runs:
+                    i, j, n = run_["pa"], run_["pb"], run_["len"]
+                    back = _common(s, i, t, j, -1)
+                    n += back + _common(s, i + n, t, j + n, 1)
+                    if n >= length:
+                        out.append((a, b, i - back, j - back, n))
             names, kinds = ["a", "b", "pa", "pb", "len"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.record_batch([pa.array([x[k] for x in out], kinds[k]) for k in range(5)], names=names)
 
@@ -208,7 +225,9 @@ def _exact_runs(docs: DataFrame, chains: DataFrame, length: int, window: int) ->
     texts = written(_around(docs, ids), "texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = chains.join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "len", "ta", "tb")
+    # The chains of a pair travel together, so a pair has its two texts once.
+    pairs = chains.groupBy("a", "b").agg(F.collect_list(F.struct("pa", "pb", "len")).alias("runs"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "runs", "ta", "tb")
     return both.mapInArrow(_extend(length, window), "a long, b long, pa int, pb int, len int")
 
 
@@ -235,8 +254,11 @@ def sharing_pairs(documents: DataFrame, length: int = LENGTH, window: int = WIND
     sure = chains.where(F.col("len") >= length).select("a", "b").distinct()
     open_ = chains.join(sure, ["a", "b"], "left_anti")
     settled = _exact_runs(docs, open_, length, window).select("a", "b")
-    many = _many_spans(docs, rep, length, window).select("h", "doc").distinct()
-    met = many.select("h", F.col("doc").alias("a")).join(many.select("h", F.col("doc").alias("b")), "h").where("a < b").select("a", "b")
+    many = written(_many_spans(docs, rep, length, window).select("h", "doc").distinct(), "many_spans")
+    hashed = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "doc"))
+    sets = many.groupBy("h").agg(hashed(1).alias("x"), hashed(2).alias("y"), F.count("*").alias("n"))
+    sets = sets.groupBy("x", "y", "n").agg(F.min("h").alias("h")).select("h")
+    met = pairs_within(many.join(sets, "h"), "h", "doc")
     return sure.unionByName(settled).unionByName(met).distinct().select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
