@@ -292,9 +292,21 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert sum(r["label"] == r["language"] for r in out) / len(out) > 0.93  # about one label in twenty is wrong
 
 
-def test_lines_of_the_own_source_only():
-    text = "kindly cite the İmages of Site One\nsite oneness is no name\nfrom SITE_ONE too\nand site two"
-    assert languages._site_lines(text, "site_one") == [0, 2] and languages._site_lines(text, "one") == []
+def test_names_of_sites_in_lines():
+    text = ["kindly cite the İmages of Site One\nsite oneness is no name\nfrom SITE_ONE too\nand site\none", "a MÜHLE\nmühlen"]
+    c, line, *_ = languages._lines_of(text)
+    hashes = [languages._joined(r, len(r))[0] for r in (languages._runs(texthash.points(x))[1] for x in ("site_one", "Mühle"))]
+    names = languages._Names(np.array(hashes, np.uint64).view(np.int64), [1, 2])
+    assert sorted(names.hits(c, line)[0].tolist()) == [0, 2, 5]
+
+
+def test_languages_do_not_depend_on_the_number_of_names(spark, monkeypatch):
+    documents, out = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), []
+    for bound, bits in ((10**9, 28), (0, 28), (0, 4)):
+        monkeypatch.setattr(languages, "MOST_NAMES", bound)
+        monkeypatch.setattr(languages, "BITMAP_BITS", bits)
+        out.append(sorted(tuple(r) for r in languages.languages(documents).collect()))
+    assert out[0] == out[1] == out[2] and len(out[0]) > 90
 
 
 # ---- 5
