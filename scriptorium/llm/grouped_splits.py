@@ -27,14 +27,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import unquote
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.lineage import forget, written
-from scriptorium.llm import texthash as H
 from scriptorium.llm.group_pairs import pairs_within
 
 # Words that stand for an unknown author.
@@ -47,8 +46,9 @@ SMALL_EDGES = 500_000
 
 def fold(text: str) -> str:
     """Lower case without accents; ue, ae and oe are read as ü, ä and ö, so all spellings agree."""
-    text = unicodedata.normalize("NFKD", text.casefold())
-    text = "".join(c for c in text if not unicodedata.combining(c))
+    text = text.casefold()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return text.replace("ue", "u").replace("ae", "a").replace("oe", "o")
 
 
@@ -97,9 +97,8 @@ def _author(text: str, forenames: dict[str, int]) -> str | None:
 
 
 def _key(kind: str, text: str) -> int:
-    h = np.frombuffer(f"{kind}:{text}".encode("utf-32-le", "surrogatepass"), np.uint32)
-    sums = H.prefix(h)
-    return int(H.spans(sums, np.array([0]), np.array([len(h)])).view(np.int64)[0])
+    h = xxhash.xxh3_64_intdigest(f"{kind}:{text}".encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _keys_by_name(forenames: dict[str, int]):
