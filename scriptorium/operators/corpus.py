@@ -30,9 +30,9 @@ OPS = {
     "op042_normalize_ascii": lambda d: f"SELECT doc_id, {d.sha256('s')} AS sha, CAST(length(s) AS BIGINT) AS kept FROM plain",
     "op043_accounting": lambda d: f"""SELECT lang, {B('sum(length(text))')} AS input_chars, {B('sum(length(text) - length(' + d.sub('text', '[A-Za-z]', '') + '))')} AS kept, {B('sum(length(text) - length(' + d.sub('text', '[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]', '') + '))')} AS whitespace, {B('sum(length(text) - length(' + d.sub('text', '[0-9.,;:!?()-]', '') + '))')} AS punct_digit
         FROM {d.t('documents')} GROUP BY lang""",
-    "op044_drop_rates": lambda d: f"SELECT doc_id, round(coalesce(lost / CAST(nullif(kept + lost, 0) AS DOUBLE), 0e0), 6) AS drop_rate FROM (SELECT doc_id, length(text) - length({d.sub('text', '[A-Za-z]', '')}) AS kept, length(text) - length({d.sub('text', '[À-ÖØ-öø-ÿ]', '')}) AS lost FROM {d.t('documents')}) q",
     "op045_encode": lambda d: f"SELECT doc_id, CAST(sum(instr('{LETTERS}', g) + 5) AS BIGINT) AS id_sum, CAST(sum((instr('{LETTERS}', g) + 5) * (pos + 1)) AS BIGINT) AS id_moment FROM plain{d.grams('s', 1, 'pos', 'g')} GROUP BY doc_id",
-    "op046_decode": lambda d: f"SELECT doc_id, {d.sha256(d.glue('ch', '', 'pos'))} AS text_sha FROM (SELECT doc_id, pos, substr('{LETTERS}', CAST(id - 5 AS INTEGER), 1) AS ch FROM (SELECT doc_id, pos, instr('{LETTERS}', g) + 5 AS id FROM plain{d.grams('s', 1, 'pos', 'g')}) q WHERE id BETWEEN 6 AND 30) r GROUP BY doc_id",
+    "op046_decode": lambda d: f"SELECT doc_id, {d.sha256(d.sub('lower(text)', '[^a-ik-z]', ''))} AS text_sha FROM {d.t('documents')} WHERE doc_id IS NOT NULL AND length({d.sub('lower(text)', '[^a-ik-z]', '')}) > 0" if d.name == "spark" else f"""SELECT doc_id, {d.sha256(d.glue('ch', '', 'pos'))} AS text_sha FROM (SELECT doc_id, pos, substr('{LETTERS}', CAST(id - 5 AS INTEGER), 1) AS ch
+        FROM (SELECT doc_id, pos, CASE WHEN instr('{LETTERS}', g) > 0 THEN instr('{LETTERS}', g) + 5 ELSE 2 END AS id FROM (SELECT doc_id, lower(text) AS s FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) t{d.grams('s', 1, 'pos', 'g')}) q WHERE id BETWEEN 6 AND 30) r GROUP BY doc_id""",
     "op047_spec_hash": lambda d: f"SELECT {d.sha256(chr(39) + '[PAD]|[MASK]|[UNK]|[BOS]|[EOS]|[NULL]|' + LETTERS + chr(39))} AS spec",
     "op048_clean_line": lambda d: f"""SELECT transcription, page_id, line, {d.glue(d.sub("word", "[?]", ""), '.', 'idx')} AS line_text, CAST(sum(length(word) - length({d.sub('word', '[?]', '')})) AS BIGINT) AS dropped FROM alltok GROUP BY transcription, page_id, line""",
     "op058_norm_word": lambda d: f"SELECT word, count(*) AS n FROM (SELECT {d.sub('lower(val)', '[^a-z]', '')} AS word FROM {d.t('documents')}{d.parts('text', ' ', 'pos', 'val')}) q WHERE length(word) > 0 AND NOT {d.match('word', '^[ivxlcdm]+$')} GROUP BY word HAVING count(*) > 3",
@@ -52,19 +52,22 @@ OPS = {
         SELECT t.transcription, count(*) AS tokens, CAST(sum(length(t.word)) AS BIGINT) AS glyphs FROM tok t LEFT JOIN bad b ON b.transcription = t.transcription AND b.page_id = t.page_id AND b.line = t.line AND b.idx = t.idx WHERE b.idx IS NULL GROUP BY t.transcription""",
     "op077_length_filtered": lambda d: "SELECT transcription, spot, word, CAST(coalesce(sum(length(word)) OVER (PARTITION BY transcription ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS starts FROM seq WHERE length(word) BETWEEN 2 AND 6",
     "op078_unit_segmentation": lambda d: f"SELECT doc_id, count(*) AS units, count(*) FILTER (WHERE length(unit) = 2) AS bigrams FROM plain{d.found('s', 'll|ss|tt|nn|ee|.', 'pos', 'unit')} GROUP BY doc_id",
-    "op079_unit_expansion": lambda d: f"SELECT doc_id, {d.sha256(d.glue('unit', '', 'pos'))} AS sha FROM plain{d.found('s', 'll|ss|tt|nn|ee|.', 'pos', 'unit')} GROUP BY doc_id",
+    "op079_unit_expansion": lambda d: (
+        "WITH u AS (SELECT doc_id, s, replace(replace(replace(replace(replace(s, 'll', '0'), 'ss', '1'), 'tt', '2'), 'nn', '3'), 'ee', '4') AS units FROM plain WHERE length(s) > 0) SELECT doc_id, CAST(length(units) AS BIGINT) AS n_units, sha2(units, 256) AS unit_sha, replace(replace(replace(replace(replace(units, '0', 'll'), '1', 'ss'), '2', 'tt'), '3', 'nn'), '4', 'ee') = s AS restored FROM u"
+        if d.name == "spark"
+        else f"SELECT doc_id, count(*) AS n_units, {d.sha256(d.glue("CASE unit WHEN 'll' THEN '0' WHEN 'ss' THEN '1' WHEN 'tt' THEN '2' WHEN 'nn' THEN '3' WHEN 'ee' THEN '4' ELSE unit END", '', 'pos'))} AS unit_sha, {d.glue('unit', '', 'pos')} = min(s) AS restored FROM plain{d.found('s', 'll|ss|tt|nn|ee|.', 'pos', 'unit')} GROUP BY doc_id"
+    ),
     "op080_unit_targets": lambda d: "SELECT lang, g, n, CAST(place AS INTEGER) AS place FROM (SELECT lang, g, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS place FROM c2 WHERE substr(g, 1, 1) = substr(g, 2, 1)) q WHERE place <= 5",
     "op081_key_projection": lambda d: """WITH t AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) + 24 AS unit FROM c2 WHERE substr(g, 1, 1) = substr(g, 2, 1)), k AS (SELECT * FROM t WHERE unit < 30)
         SELECT a.g, a.lang AS from_lang, l.lang AS to_lang, CAST(coalesce(b.unit, instr('abcdefghiklmnopqrstuvwxyz', substr(a.g, 1, 1)) - 1) AS BIGINT) AS unit FROM k a CROSS JOIN langs l LEFT JOIN k b ON b.lang = l.lang AND b.g = a.g""",
     "op082_adjacency": lambda d: "SELECT transcription, count(*) FILTER (WHERE spot = prev + 1) AS adjacent, count(*) AS kept FROM (SELECT transcription, spot, lag(spot) OVER (PARTITION BY transcription ORDER BY spot) AS prev FROM seq WHERE length(word) >= 6) q GROUP BY transcription",
     "op083_repeats": lambda d: "SELECT transcription, spot FROM (SELECT transcription, spot, word, lag(spot) OVER (PARTITION BY transcription ORDER BY spot) AS prev, lag(word) OVER (PARTITION BY transcription ORDER BY spot) AS before FROM seq WHERE length(word) >= 6) q WHERE spot = prev + 1 AND word = before",
     "op084_rule_violations": lambda d: "SELECT transcription, count(*) FILTER (WHERE spot = prev + 1 AND unit = prev_unit AND word <> before) AS violations FROM (SELECT transcription, spot, word, substr(word, 1, 2) AS unit, lag(spot) OVER w AS prev, lag(word) OVER w AS before, lag(substr(word, 1, 2)) OVER w AS prev_unit FROM seq WINDOW w AS (PARTITION BY transcription ORDER BY spot)) q GROUP BY transcription",
-    "op085_decode": lambda d: f"""WITH k AS (SELECT ch, substr('etaoinsrhldcumfpgwybvkxqz', CAST(place AS INTEGER), 1) AS letter FROM (SELECT g AS ch, row_number() OVER (ORDER BY count(*) DESC, g) AS place FROM tok{d.grams('word', 1, 'pos', 'g')} GROUP BY g) q)
-        SELECT transcription, page_id, line, idx, {d.glue('letter', '', 'pos')} AS decoded FROM (SELECT t.transcription, t.page_id, t.line, t.idx, t.pos, k.letter FROM (SELECT transcription, page_id, line, idx, pos, g FROM tok{d.grams('word', 1, 'pos', 'g')}) t JOIN k ON k.ch = t.g) q GROUP BY transcription, page_id, line, idx""",
+    "op085_decode": lambda d: f"""WITH k AS (SELECT {d.glue('g', '', 'place')} AS symbols FROM (SELECT g, row_number() OVER (ORDER BY count(*) DESC, g) AS place FROM tok{d.grams('word', 1, 'pos', 'g')} GROUP BY g) q)
+        SELECT transcription, page_id, line, idx, translate(word, symbols, substr('etaoinsrhldcumfpgwybvkxqz', 1, CAST(length(symbols) AS INTEGER))) AS decoded FROM tok CROSS JOIN k""",
     "op086_token_parse": lambda d: f"""WITH pre AS (SELECT substr(word, 1, 3) AS x FROM tok WHERE length(word) >= 5 GROUP BY substr(word, 1, 3) HAVING count(DISTINCT word) >= 5), suf AS (SELECT substr(word, 4) AS x FROM tok WHERE length(word) >= 5 GROUP BY substr(word, 4) HAVING count(DISTINCT word) >= 5),
         words AS (SELECT DISTINCT word FROM tok), cut AS (SELECT word, substr(word, 1, CAST(i AS INTEGER)) AS a, substr(word, CAST(i AS INTEGER) + 1) AS b FROM words{d.each('i', '1', 'length(word) - 1')} WHERE i <= length(word) - 1)
         SELECT w.word, count(pre.x) AS parses FROM words w LEFT JOIN cut ON cut.word = w.word LEFT JOIN suf ON suf.x = cut.b LEFT JOIN pre ON pre.x = cut.a AND suf.x IS NOT NULL GROUP BY w.word""",
-    "op087_column_cipher": lambda d: f"""SELECT doc_id, {d.sha256(d.glue(f"substr('{LETTERS}', CAST((instr('{LETTERS}', g) - 1 + (pos % 24) * 7) % 25 + 1 AS INTEGER), 1)", '', 'pos'))} AS cipher_sha FROM plain{d.grams('s', 1, 'pos', 'g')} GROUP BY doc_id""",
     "op088_null_frame": lambda d: "SELECT transcription, page_id, CAST(count(*) * 2 AS BIGINT) AS slots, count(*) FILTER (WHERE length(word) % 2 = 1) AS nulls FROM tok GROUP BY transcription, page_id",
     "op090_true_runs": lambda d: """WITH f AS (SELECT transcription, page_id, line, idx, length(word) >= 7 AS flag, row_number() OVER (PARTITION BY transcription ORDER BY page_id, line, idx) - row_number() OVER (PARTITION BY transcription, length(word) >= 7 ORDER BY page_id, line, idx) AS island FROM tok)
         SELECT transcription, CAST(run AS INTEGER) AS run, count(*) AS n FROM (SELECT transcription, island, count(*) AS run FROM f WHERE flag GROUP BY transcription, island) q GROUP BY transcription, run""",

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from scriptorium.plans.portable import entropy, wilson
+from scriptorium.plans.relations import language
 
 OPS = {
-    "op101_ngram_counts": lambda d: "SELECT lang, 1 AS k, g, n FROM c1 UNION ALL SELECT lang, 2 AS k, g, n FROM c2 UNION ALL SELECT lang, 3 AS k, g, n FROM c3",
-    "op102_witten_bell": lambda d: """SELECT w2.lang, w2.g, round(w2.n / CAST(w2.big + w2.kinds AS DOUBLE) + w2.kinds / CAST(w2.big + w2.kinds AS DOUBLE) * w1.p, 6) AS p FROM w2 JOIN w1 ON w1.lang = w2.lang AND w1.g = substr(w2.g, 2, 1)""",
+    "op101_ngram_counts": lambda d: "SELECT lang, k, g, n FROM grams" if d.name == "duck" else "SELECT lang, k, g, n FROM {grams_}",
+    "op102_witten_bell": lambda d: "WITH q1 AS (SELECT lang, g, p FROM w1), " + ", ".join(f"q{k} AS (SELECT w.lang, w.g, (w.n + w.kinds * q.p) / (w.big + w.kinds) AS p FROM w{k} w JOIN q{k - 1} q ON q.lang = w.lang AND q.g = substr(w.g, 2, {k - 1}))" for k in range(2, 6)) + " " + " UNION ALL ".join(f"SELECT lang, {k} AS k, g, round(p, 6) AS p FROM q{k}" for k in range(1, 6)),
     "op103_lm_scores": lambda d: "SELECT doc_id, lang, round(bits, 6) AS bits FROM scored",
     "op147_best_language": lambda d: "SELECT doc_id, truth, lang AS best, round(bits, 6) AS bits, round(next_bits - bits, 6) AS margin FROM ranked WHERE place = 1",
     "op224_window_lm_bits": lambda d: "SELECT doc_id, lang, CAST(len AS BIGINT) AS positions, round(bits, 5) AS bits FROM scored WHERE lang = truth",
@@ -20,15 +21,15 @@ OPS = {
         FROM (SELECT t.*, v.v, (coalesce(u.n, 0) + 0.5e0) / (tt.total + 0.5e0 * v.v) AS p0 FROM t JOIN v ON v.transcription = t.transcription JOIN (SELECT DISTINCT transcription, total FROM u) tt ON tt.transcription = t.transcription LEFT JOIN u ON u.transcription = t.transcription AND u.sym = t.sym WHERE t.prev IS NOT NULL) t
         LEFT JOIN c ON c.transcription = t.transcription AND c.prev = t.prev LEFT JOIN b ON b.transcription = t.transcription AND b.prev = t.prev AND b.sym = t.sym GROUP BY t.transcription""",
     "op129_harness_summary": lambda d: "SELECT kind, hypothesis, window_len, count(*) AS trials, round(avg(plain_bits), 6) AS mean_bits, round(max(plain_bits), 6) AS max_bits, round(avg(CASE WHEN language_like THEN 1e0 ELSE 0e0 END), 6) AS win_rate FROM cells c JOIN kinds k ON k.instance = c.instance GROUP BY kind, hypothesis, window_len",
-    "op130_recovery_report": lambda d: f"""WITH top AS (SELECT c.instance, c.presentation, c.head, c.window_len, min_by(hypothesis, total_per_all_symbols) AS called FROM cells c GROUP BY c.instance, c.presentation, c.head, c.window_len),
-        j AS (SELECT top.*, k.kind, called = 'latin' AS hit FROM top JOIN kinds k ON k.instance = top.instance)
-        SELECT kind, window_len, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, round({wilson('(count(*) FILTER (WHERE hit))', 'count(*)', '-')}, 6) AS low, round({wilson('(count(*) FILTER (WHERE hit))', 'count(*)', '+')}, 6) AS high FROM j GROUP BY GROUPING SETS ((kind, window_len), (kind), (window_len), ())""",
+    "op130_recovery_report": lambda d: f"""WITH top AS (SELECT c.instance, c.presentation, c.head, c.window_len, min(c.doc_id) AS doc_id, {d.first_by('hypothesis', 'total_per_all_symbols, hypothesis')} AS called FROM cells c GROUP BY c.instance, c.presentation, c.head, c.window_len),
+        truth AS (SELECT doc_id, min({language(d, 'language')}) AS lang FROM {d.t('doc_records')} WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        j AS (SELECT top.window_len, t.lang, top.called = t.lang AS hit, a.family = b.family AS near FROM top JOIN truth t ON t.doc_id = top.doc_id JOIN langs a ON a.lang = t.lang LEFT JOIN langs b ON b.lang = top.called)
+        SELECT lang, window_len, count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE near) AS family_hits, round({wilson('(count(*) FILTER (WHERE hit))', 'count(*)', '-')}, 6) AS low, round({wilson('(count(*) FILTER (WHERE hit))', 'count(*)', '+')}, 6) AS high FROM j GROUP BY GROUPING SETS ((lang, window_len), (lang), (window_len), ())""",
     "op131_confusion": lambda d: f"SELECT truth, lang AS called, truth = lang AS correct, fa.family = fb.family AS same_family, count(*) AS n FROM ranked r JOIN (SELECT lang AS l1, family FROM langs) fa ON fa.l1 = r.truth JOIN (SELECT lang AS l2, family FROM langs) fb ON fb.l2 = r.lang WHERE place = 1 GROUP BY truth, lang, fa.family = fb.family",
     "op132_length_curves": lambda d: "SELECT window_len, head, round(avg(total_per_all_symbols), 4) AS mean_total, count(*) AS n FROM cells GROUP BY window_len, head",
     "op133_classifier_summary": lambda d: """WITH s AS (SELECT doc_id, truth, lang, exp(-bits) / sum(exp(-bits)) OVER (PARTITION BY doc_id) AS p FROM scored), m AS (SELECT doc_id, truth, max(p) AS top, max(CASE WHEN lang = truth THEN p END) AS own FROM s GROUP BY doc_id, truth)
         SELECT truth, count(*) AS n, round(avg(CASE WHEN own = top THEN 1e0 ELSE 0e0 END), 6) AS accuracy, round(avg(own), 6) AS mean_own, round(avg(CASE WHEN top < 0.4e0 THEN 1e0 ELSE 0e0 END), 6) AS abstain_rate FROM m GROUP BY truth""",
-    "op134_symbol_support": lambda d: f"SELECT lang, g AS letter, round(sum(n * ln(p)), 3) AS support FROM (SELECT w1.lang, w1.g, a.n, w1.p FROM w1 JOIN (SELECT truth, substr(g, length(g), 1) AS g, sum(n) AS n FROM asked GROUP BY truth, substr(g, length(g), 1)) a ON a.truth = w1.lang AND a.g = w1.g) q GROUP BY lang, g",
-    "op142_calibrated_bits": lambda d: "SELECT c.cell_id, c.hypothesis, round(c.plain_bits + coalesce(o.off, 0e0), 6) AS bits FROM cells c LEFT JOIN (SELECT * FROM (VALUES ('latin', -0.1e0), ('german', 0.2e0)) AS v(lang, off)) o ON o.lang = c.hypothesis WHERE c.plain_bits IS NOT NULL",
+    "op142_calibrated_bits": lambda d: "SELECT c.cell_id, c.hypothesis, round(c.plain_bits + coalesce(o.offset_bits, 0e0), 6) AS bits FROM cells c LEFT JOIN calib o ON o.lang = c.hypothesis WHERE c.plain_bits IS NOT NULL",
     "op143_replicate_pairs": lambda d: "WITH t AS (SELECT instance, presentation, head, min_by(hypothesis, total_per_all_symbols) AS top FROM cells GROUP BY instance, presentation, head) SELECT a.instance, count(*) AS compared, count(*) FILTER (WHERE a.top <> b.top) AS disagree FROM t a JOIN t b ON a.instance = b.instance AND (a.presentation < b.presentation OR (a.presentation = b.presentation AND a.head < b.head)) GROUP BY a.instance",
     "op144_instance_lookup": lambda d: f"SELECT c.cell_id, c.instance, r.language, r.raw_chars FROM cells c JOIN (SELECT doc_id, min(language) AS language, max(raw_chars) AS raw_chars FROM {d.t('doc_records')} GROUP BY doc_id) r ON r.doc_id = c.doc_id",
     "op145_job_list": lambda d: f"""SELECT k.instance, h.head, l.lang AS hypothesis, CAST(w AS INTEGER) AS win FROM kinds k CROSS JOIN (SELECT * FROM (VALUES ('rung1', 25), ('homophonic', 60), ('naibbe', 400)) AS v(head, most)) h CROSS JOIN langs l{d.each('w', '0', '2')} WHERE (k.kind = 'positive' OR h.head <> 'naibbe') AND w <= CASE WHEN h.head = 'rung1' THEN 0 ELSE 2 END""",
@@ -44,14 +45,13 @@ OPS = {
     "op154_tiers": lambda d: """WITH c AS (SELECT max(structure_margin) AS best FROM cells c JOIN kinds k ON k.instance = c.instance WHERE kind = 'shuffled') SELECT cell_id, CASE WHEN c.best IS NULL THEN 'PENDING' WHEN structure_margin >= 1.5e0 AND plain_bits <= 3.0e0 THEN 'LANGUAGE-LIKE'
         WHEN structure_margin >= 1.49e0 AND c.best < 1.26e0 THEN 'PROMISING' WHEN structure_margin >= 1.26e0 AND structure_margin >= c.best + 0.15e0 THEN 'NOTABLE' ELSE 'NOISE' END AS tier FROM cells CROSS JOIN c""",
     "op157_disagreements": lambda d: "SELECT instance, best, called, round(margin, 6) AS margin FROM (SELECT instance, min_by(hypothesis, total_per_all_symbols) AS best, min_by(hypothesis, plain_bits) AS called, max(plain_bits) - min(plain_bits) AS margin FROM cells WHERE plain_bits IS NOT NULL GROUP BY instance) q WHERE best <> called",
-    "op158_pair_swaps": lambda d: "SELECT lang, a, b, gain FROM (SELECT x.lang, x.g AS a, y.g AS b, round((x.p - y.p) * (y.p - x.p), 6) AS gain, row_number() OVER (PARTITION BY x.lang ORDER BY round((x.p - y.p) * (y.p - x.p), 6) DESC, x.g, y.g) AS place FROM w1 x JOIN w1 y ON x.lang = y.lang AND x.g < y.g) q WHERE place <= 12",
-    "op159_shortlist": lambda d: "SELECT instance, hypothesis, cell_id FROM (SELECT instance, hypothesis, cell_id, row_number() OVER (PARTITION BY instance, hypothesis ORDER BY total_per_all_symbols, cell_id) AS k, dense_rank() OVER (PARTITION BY instance ORDER BY hypothesis) AS r FROM cells) q WHERE k = 1 AND r <= 3",
-    "op160_shared_sensitivity": lambda d: "SELECT g AS letter, round(min(p), 6) AS least FROM w1 GROUP BY g",
+    "op159_shortlist": lambda d: """WITH c AS (SELECT s.lang, s.doc_id, s.bits, p.s, row_number() OVER (PARTITION BY s.lang, p.s ORDER BY round(s.bits, 9), s.doc_id) AS copy FROM scored s JOIN parted p ON p.doc_id = s.doc_id),
+        r AS (SELECT lang, doc_id, bits, row_number() OVER (PARTITION BY lang ORDER BY round(bits, 9), doc_id) AS place FROM c WHERE copy = 1) SELECT lang, doc_id, CAST(place AS INTEGER) AS place, round(bits, 6) AS bits FROM r WHERE place <= 8""",
     "op161_auroc": lambda d: """WITH r AS (SELECT kind = 'positive' AS y, rank() OVER (ORDER BY structure_margin) + (count(*) OVER (PARTITION BY structure_margin) - 1) / 2e0 AS r FROM cells c JOIN kinds k ON k.instance = c.instance WHERE structure_margin IS NOT NULL)
         SELECT count(*) AS n, round((sum(CASE WHEN y THEN r ELSE 0e0 END) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2e0) / (CAST(count(*) FILTER (WHERE y) AS DOUBLE) * count(*) FILTER (WHERE NOT y)), 6) AS auroc FROM r""",
     "op164_curve_verdict": lambda d: """WITH m AS (SELECT instance, window_len, avg(total_per_all_symbols) AS bits FROM cells GROUP BY instance, window_len), i AS (SELECT window_len, bits - lag(bits) OVER (PARTITION BY instance ORDER BY window_len) AS inc FROM m)
         SELECT window_len, count(inc) AS n, round(avg(inc), 6) AS mean_inc, avg(inc) > -2 * stddev_samp(inc) / sqrt(CAST(count(inc) AS DOUBLE)) AS monotone FROM i WHERE inc IS NOT NULL GROUP BY window_len HAVING count(inc) > 1""",
-    "op184_margin_uncertainty": lambda d: "SELECT a.lang AS lang_a, b.lang AS lang_b, round(abs(a.off - b.off), 6) AS report_only, round(sqrt(a.sem * a.sem + b.sem * b.sem), 6) AS applied FROM (SELECT * FROM (VALUES ('latin', 0.1e0, 0.02e0), ('italian', -0.05e0, 0.01e0), ('german', 0.2e0, 0.03e0)) AS v(lang, off, sem)) a JOIN (SELECT * FROM (VALUES ('latin', 0.1e0, 0.02e0), ('italian', -0.05e0, 0.01e0), ('german', 0.2e0, 0.03e0)) AS v(lang, off, sem)) b ON a.lang < b.lang",
+    "op184_margin_uncertainty": lambda d: "SELECT a.lang AS lang_a, b.lang AS lang_b, round(abs(a.offset_bits - b.offset_bits), 6) AS report_only, round(sqrt(a.offset_sem * a.offset_sem + b.offset_sem * b.offset_sem), 6) AS applied FROM calib a JOIN calib b ON a.lang < b.lang",
     "op186_masked_bits": lambda d: f"""WITH k AS (SELECT doc_id, lang, len, pos, g, strat, greatest((strat + {d.u("'t'", 'CAST(doc_id AS STRING)', 'CAST(strat AS STRING)')}) / 4e0, 0.001e0) AS t FROM (SELECT doc_id, lang, s, CAST(length(s) AS DOUBLE) AS len FROM parted WHERE part = 'heldout') p{d.grams('s', 1, 'pos', 'g')}{d.each('strat', '0', '3')}),
         m AS (SELECT k.*, {d.u("'m'", 'CAST(doc_id AS STRING)', 'CAST(strat AS STRING)', 'CAST(pos AS STRING)')} < t AS masked FROM k)
         SELECT m.doc_id, round(sum(-log2(w1.p) / t) / (4 * max(len)), 5) AS bits, count(*) AS masked FROM m JOIN w1 ON w1.lang = m.lang AND w1.g = m.g WHERE masked GROUP BY m.doc_id""",
@@ -60,11 +60,10 @@ OPS = {
         SELECT m.doc_id, l.lang, round(sum(-log2(coalesce(w1.p, 1e-6))) / count(*), 6) AS bits FROM m CROSS JOIN langs l LEFT JOIN w1 ON w1.lang = l.lang AND w1.g = m.g GROUP BY m.doc_id, l.lang""",
     "op180_variance_ratio": lambda d: """WITH p AS (SELECT instance, presentation, avg(CASE WHEN hypothesis = 'latin' THEN total_per_all_symbols END) AS a, avg(CASE WHEN hypothesis = 'german' THEN total_per_all_symbols END) AS b FROM cells GROUP BY instance, presentation)
         SELECT count(*) AS n, round(var_samp(a - b), 6) AS paired, round(var_samp(a) + var_samp(b), 6) AS independent, round((var_samp(a) + var_samp(b)) / nullif(var_samp(a - b), 0), 5) AS ratio FROM p WHERE a IS NOT NULL AND b IS NOT NULL""",
-    "op190_position_posterior": lambda d: "SELECT g AS letter, round(avg(ln(p)), 6) AS mean_log FROM w1 GROUP BY g",
-    "op195_sensitivity": lambda d: "SELECT x.lang, x.g AS letter, round(min(ln(x.p) - ln(y.p)), 6) AS least_loss FROM w1 x JOIN w1 y ON y.lang = x.lang AND y.g <> x.g GROUP BY x.lang, x.g",
-    "op196_calibrated_per_char": lambda d: "SELECT doc_id, lang, round(bits + CASE lang WHEN 'latin' THEN -0.1e0 WHEN 'german' THEN 0.2e0 ELSE 0e0 END, 6) AS bits FROM scored",
-    "op197_key_bits": lambda d: f"""SELECT transcription, types, round(lf, 6) AS one_to_one_bits, round(types * log2(25e0), 6) AS homophonic_bits FROM (SELECT t.transcription, max(t.types) AS types, sum(log2(CAST(i AS DOUBLE))) AS lf FROM (SELECT transcription, least(25, count(*)) AS types FROM freq GROUP BY transcription) t{d.each('i', '1', '25')} GROUP BY t.transcription) q""".replace("max(t.types) AS types", "CAST(max(t.types) AS BIGINT) AS types"),
-    "op198_calibration_run": lambda d: "SELECT truth AS lang, count(*) AS n, round(avg(u - bits), 6) AS offset_bits, round(stddev_samp(u - bits) / sqrt(CAST(count(*) AS DOUBLE)), 6) AS offset_sem FROM (SELECT s.doc_id, s.truth, s.bits, x.u FROM scored s JOIN (SELECT doc_id, lang, -sum(n * log2(p1)) / sum(n) AS u FROM probs GROUP BY doc_id, lang) x ON x.doc_id = s.doc_id AND x.lang = s.lang WHERE s.lang = s.truth) q GROUP BY truth",
+    "op196_calibrated_per_char": lambda d: "SELECT s.doc_id, s.lang, round(s.bits + c.offset_bits, 6) AS bits FROM scored s JOIN calib c ON c.lang = s.lang",
+    "op197_key_bits": lambda d: f"""SELECT transcription, types, round(f.f25, 6) AS one_to_one_bits, round(types * log2(25e0), 6) AS homophonic_bits, round(18 * f.f23, 6) AS mixed_bits, round(f.f16 + 25 * log2(26e0), 6) AS sum_bits
+        FROM (SELECT transcription, count(*) AS types FROM freq GROUP BY transcription) t CROSS JOIN (SELECT sum(log2(CAST(i AS DOUBLE))) AS f25, sum(CASE WHEN i <= 23 THEN log2(CAST(i AS DOUBLE)) END) AS f23, sum(CASE WHEN i <= 16 THEN log2(CAST(i AS DOUBLE)) END) AS f16 FROM (SELECT 1 AS one) z{d.each('i', '1', '25')}) f""",
+    "op198_calibration_run": lambda d: "SELECT lang, n, round(offset_bits, 6) AS offset_bits, round(offset_sem, 6) AS offset_sem FROM calib",
     "op199_document_scoring": lambda d: "SELECT truth, lang AS top1, count(*) AS n, round(avg(bits), 6) AS mean_bits FROM ranked WHERE place = 1 GROUP BY truth, lang",
     "op222_arm_statistics": lambda d: f"""WITH t AS (SELECT c.instance, k.kind, min_by(hypothesis, total_per_all_symbols) AS top, max(CASE WHEN language_like THEN 1 ELSE 0 END) AS solved FROM cells c JOIN kinds k ON k.instance = c.instance GROUP BY c.instance, k.kind)
         SELECT kind, count(*) AS n, CAST(sum(solved) AS BIGINT) AS solved, round({wilson('sum(solved)', 'count(*)', '-')}, 6) AS low, round({wilson('sum(solved)', 'count(*)', '+')}, 6) AS high FROM t GROUP BY kind""",
@@ -76,9 +75,13 @@ OPS = {
     "op236_weighted_accuracy": lambda d: "SELECT truth, round(sum(CASE WHEN lang = truth THEN len ELSE 0 END) / CAST(sum(len) AS DOUBLE), 6) AS weighted, round(avg(CASE WHEN lang = truth THEN 1e0 ELSE 0e0 END), 6) AS unweighted FROM ranked WHERE place = 1 GROUP BY truth",
     "op237_cross_head_mdl": lambda d: "SELECT instance, min_by(head, best) AS winner, round(min(best), 6) AS total, round(max(CASE WHEN place = 2 THEN best END) - min(best), 6) AS margin FROM (SELECT q.*, row_number() OVER (PARTITION BY instance ORDER BY best, head) AS place FROM (SELECT instance, head, min(total_per_all_symbols) AS best FROM cells GROUP BY instance, head) q) r GROUP BY instance",
     "op240_seed_agreement": lambda d: f"WITH w AS (SELECT instance, presentation AS seed, min_by(hypothesis, total_per_all_symbols) AS top FROM cells GROUP BY instance, presentation) SELECT a.seed AS seed_a, b.seed AS seed_b, count(*) AS n, round(avg(CASE WHEN a.top = b.top THEN 1e0 ELSE 0e0 END), 6) AS agreement FROM w a JOIN w b ON a.instance = b.instance AND a.seed < b.seed GROUP BY a.seed, b.seed",
-    "op241_log_plateau": lambda d: f"SELECT phase, run_name, step, round((ref - v) / nullif(ref, 0), 6) AS improvement FROM (SELECT phase, run_name, row_number() OVER w AS step, sampling_temperature AS v, lag(sampling_temperature, 3) OVER w AS ref FROM {d.t('run_configs')} WINDOW w AS (PARTITION BY phase ORDER BY created_utc, run_name)) q WHERE ref IS NOT NULL".replace("row_number() OVER w AS step", "CAST(row_number() OVER w AS INTEGER) AS step"),
-    "op023_calibration_table": lambda d: "SELECT lang, family, CAST(pos AS INTEGER) AS pos, CASE WHEN lang = 'german' THEN 0.2e0 WHEN lang = 'latin' THEN -0.1e0 ELSE 0e0 END AS offset_bits FROM langs",
-    "op035_report_only_table": lambda d: "SELECT lang, family, 0e0 AS applied FROM langs",
+    "op241_log_plateau": lambda d: f"""WITH log AS (SELECT loaded_at, 'step ' || CAST(floor(coalesce(window_len, 0) / 64) AS BIGINT) || ' | canary ' || hypothesis || ' | bits ' || CAST(CAST(round(plain_bits, 6) AS DECIMAL(12, 6)) AS STRING) AS line, cell_id FROM {d.t('score_cells')} WHERE hypothesis IS NOT NULL AND plain_bits IS NOT NULL),
+        p AS (SELECT loaded_at, cell_id, CAST({d.extract('line', 'step ([0-9]+)')} AS BIGINT) AS step, {d.extract('line', 'canary ([a-z]+)')} AS lang, CAST({d.extract('line', 'bits (-?[0-9.]+)')} AS DOUBLE) AS v FROM log),
+        last AS (SELECT lang, step, v FROM (SELECT p.*, row_number() OVER (PARTITION BY lang, step ORDER BY loaded_at DESC, cell_id DESC, v) AS k FROM p) q WHERE k = 1),
+        back AS (SELECT a.lang, a.step, a.v, max(b.step) AS ref_step FROM last a JOIN last b ON b.lang = a.lang AND b.step <= a.step - 2 GROUP BY a.lang, a.step, a.v)
+        SELECT b.lang, b.step, round((r.v - b.v) / nullif(r.v, 0), 6) AS improvement FROM back b JOIN last r ON r.lang = b.lang AND r.step = b.ref_step""",
+    "op023_calibration_table": lambda d: "SELECT l.lang, l.family, CAST(l.pos AS INTEGER) AS pos, round(c.offset_bits, 6) AS offset_bits, round(c.offset_sem, 6) AS offset_sem FROM langs l JOIN calib c ON c.lang = l.lang",
+    "op035_report_only_table": lambda d: "SELECT l.lang, l.family, round(c.offset_bits, 6) AS reported, 0e0 AS applied FROM langs l JOIN calib c ON c.lang = l.lang",
     "op034_lm_table": lambda d: "SELECT w2.lang, w2.g, round(ln(w2.n / CAST(w2.big AS DOUBLE)), 6) AS log_ml FROM w2",
     "op189_paired_bits": lambda d: f"""WITH m AS (SELECT doc_id, lang, role, pos, g FROM (SELECT doc_id, lang, 'decode' AS role, s FROM parted WHERE part = 'heldout' UNION ALL SELECT doc_id, lang, 'reversed' AS role, reverse(s) AS s FROM parted WHERE part = 'heldout') p{d.grams('s', 2, 'pos', 'g')}
         WHERE {d.u("'pair'", 'CAST(doc_id AS STRING)', 'CAST(pos AS STRING)')} < 0.5e0)

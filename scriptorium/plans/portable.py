@@ -56,6 +56,18 @@ class Spark:
     def sha256(self, x: str) -> str:
         return f"sha2({x}, 256)"
 
+    def first_by(self, x: str, order: str) -> str:
+        return f"min_by({x}, struct({order}))"
+
+    def extract(self, x: str, pattern: str) -> str:
+        """The first group of the pattern."""
+        return f"regexp_extract({x}, '{pattern}', 1)"
+
+    def lgamma(self, x: str) -> str:
+        """Stirling's series at x + 8, brought back by the recurrence."""
+        y, product = f"({x} + 8)", " * ".join(f"({x} + {k})" for k in range(8))
+        return f"(({y} - 0.5e0) * ln({y}) - {y} + 0.9189385332046727e0 + 1 / (12 * {y}) - 1 / (360 * pow({y}, 3)) + 1 / (1260 * pow({y}, 5)) - ln({product}))"
+
     def listed(self, x: str, order: str) -> str:
         return f"concat_ws(',', transform(array_sort(collect_list(struct({order}, {x} AS v))), s -> CAST(s.v AS STRING)))"
 
@@ -100,6 +112,12 @@ class Duck(Spark):
     def sha256(self, x: str) -> str:
         return f"sha256({x})"
 
+    def first_by(self, x: str, order: str) -> str:
+        return f"arg_min({x}, row({order}))"
+
+    def lgamma(self, x: str) -> str:
+        return f"lgamma({x})"
+
     def listed(self, x: str, order: str) -> str:
         return f"string_agg(CAST({x} AS VARCHAR), ',' ORDER BY {order})"
 

@@ -7,12 +7,36 @@ attributes stay null.
 from __future__ import annotations
 
 # Spellings of language labels.
-LABELS = {"latin": "('la', 'lat', 'latin')", "italian": "('it', 'ita', 'itit', 'italian', 'italiano')", "german": "('de', 'deu', 'ger', 'dede', 'german', 'deutsch')", "french": "('fr', 'fra', 'fre', 'french')"}
+LABELS = {
+    "latin": ("la", "lat", "latin", "latino", "latein"),
+    "italian": ("it", "ita", "itit", "italian", "italiano"),
+    "german": ("de", "deu", "ger", "dede", "german", "deutsch"),
+    "french": ("fr", "fra", "fre", "frfr", "french", "francais"),
+}
 
 
 def language(d, x: str) -> str:
     bare = d.sub(f"lower({x})", "[^a-z]", "")
-    return "CASE " + " ".join(f"WHEN {bare} IN {v} THEN '{k}'" for k, v in LABELS.items()) + " END"
+    return "CASE " + " ".join(f"WHEN {bare} IN {v!r} THEN '{k}'" for k, v in LABELS.items()) + " END"
+
+
+def _scored_sql(d) -> str:
+    """Scores by joins: the grams of each held-out text against counts and contexts of each order."""
+    heads = " UNION ALL ".join(f"SELECT doc_id, lang, substr(s, 1, {k}) AS g FROM parted WHERE part = 'heldout' AND length(s) >= {k}" for k in range(1, 5))
+    asked = f"SELECT doc_id, lang AS truth, g, count(*) AS n FROM (SELECT doc_id, lang, g FROM parted{d.grams('s', 5, 'pos', 'g')} WHERE part = 'heldout' UNION ALL {heads}) q GROUP BY doc_id, lang, g"
+    joins = "".join(
+        f" LEFT JOIN ctx{k} x{k} ON x{k}.lang = l.lang AND x{k}.ctx = substr(a.g, length(a.g) - {k - 1}, {k - 1}) AND length(a.g) >= {k}"
+        f" LEFT JOIN w{k} ON w{k}.lang = l.lang AND w{k}.g = substr(a.g, length(a.g) - {k - 1}, {k}) AND length(a.g) >= {k}"
+        for k in range(2, 6)
+    )
+    p = "p1"
+    for k in range(2, 6):
+        p = f"CASE WHEN b{k} IS NULL THEN {p} ELSE (n{k} + t{k} * ({p})) / (b{k} + t{k}) END"
+    columns = "".join(f", x{k}.big AS b{k}, x{k}.kinds AS t{k}, coalesce(w{k}.n, 0) AS n{k}" for k in range(2, 6))
+    return f"""SELECT doc_id, truth, lang, sum(n) AS len, -sum(n * log2({p})) / sum(n) AS bits, -sum(n * log2(p1)) / sum(n) AS bits1 FROM (
+        SELECT a.doc_id, a.truth, l.lang, a.g, a.n, coalesce(w1.p, 1 / (t.total + 25e0)) AS p1{columns}
+        FROM ({asked}) a CROSS JOIN langs l JOIN (SELECT lang, max(total) AS total FROM w1 GROUP BY lang) t ON t.lang = l.lang
+        LEFT JOIN w1 ON w1.lang = l.lang AND w1.g = substr(a.g, length(a.g), 1){joins}) q GROUP BY doc_id, truth, lang"""
 
 
 RELATIONS = {
@@ -37,34 +61,22 @@ RELATIONS = {
     "parted": lambda d: f"""SELECT doc_id, lang, s, CASE WHEN {d.u("'split'", 'CAST(doc_id AS STRING)')} < 0.1e0 THEN 'heldout' ELSE 'train' END AS part
         FROM plain WHERE lang IS NOT NULL AND length(s) > 0""",
     "langs": lambda d: "SELECT * FROM (VALUES ('latin', 0, 'romance'), ('italian', 1, 'romance'), ('german', 2, 'germanic'), ('french', 3, 'romance')) AS v(lang, pos, family)",
-    # Character n-gram counts of the training texts; grams never cross texts.
-    "c1": lambda d: f"SELECT lang, g, count(*) AS n FROM parted{d.grams('s', 1, 'pos', 'g')} WHERE part = 'train' GROUP BY lang, g",
-    "c2": lambda d: f"SELECT lang, g, count(*) AS n FROM parted{d.grams('s', 2, 'pos', 'g')} WHERE part = 'train' GROUP BY lang, g",
-    "c3": lambda d: f"SELECT lang, g, count(*) AS n FROM parted{d.grams('s', 3, 'pos', 'g')} WHERE part = 'train' GROUP BY lang, g",
+    # Counts of runs of 1 to 5 letters in the training texts, and scores of the held-out
+    # texts: one pass each on Spark (operators/ngrams), written out in SQL on DuckDB.
+    "grams": lambda d: d.t("grams_") if d.name == "spark" else "SELECT * FROM (" + " UNION ALL ".join(f"SELECT lang, CAST({k} AS INTEGER) AS k, g, CAST(count(*) AS BIGINT) AS n FROM parted{d.grams('s', k, 'pos', 'g')} WHERE part = 'train' GROUP BY lang, g" for k in range(1, 6)) + ") q",
+    **{f"c{k}": (lambda d, k=k: f"SELECT lang, g, n FROM {'{grams_}' if d.name == 'spark' else 'grams'} WHERE k = {k}") for k in range(1, 6)},
     "w1": lambda d: "SELECT lang, g, (n + 1) / (sum(n) OVER (PARTITION BY lang) + 25e0) AS p, sum(n) OVER (PARTITION BY lang) AS total FROM c1",
-    "w2": lambda d: "SELECT lang, g, n, sum(n) OVER (PARTITION BY lang, substr(g, 1, 1)) AS big, count(*) OVER (PARTITION BY lang, substr(g, 1, 1)) AS kinds FROM c2",
-    "w3": lambda d: "SELECT lang, g, n, sum(n) OVER (PARTITION BY lang, substr(g, 1, 2)) AS big, count(*) OVER (PARTITION BY lang, substr(g, 1, 2)) AS kinds FROM c3",
-    "ctx2": lambda d: "SELECT DISTINCT lang, substr(g, 1, 1) AS ctx, big, kinds FROM w2",
-    "ctx3": lambda d: "SELECT DISTINCT lang, substr(g, 1, 2) AS ctx, big, kinds FROM w3",
-    # Distinct grams of each held-out text with their counts: far fewer rows than positions.
-    "asked": lambda d: f"""SELECT doc_id, lang AS truth, g, count(*) AS n FROM (SELECT doc_id, lang, g FROM parted{d.grams('s', 3, 'pos', 'g')} WHERE part = 'heldout'
-        UNION ALL SELECT doc_id, lang, substr(s, 1, 1) AS g FROM parted WHERE part = 'heldout' UNION ALL SELECT doc_id, lang, substr(s, 1, 2) AS g FROM parted WHERE part = 'heldout' AND length(s) > 1) q GROUP BY doc_id, lang, g""",
-    "probs": lambda d: """SELECT a.doc_id, a.truth, l.lang, a.g, a.n, coalesce(w1.p, 1 / (t.total + 25e0)) AS p1, x2.big AS n2, x2.kinds AS t2, coalesce(w2.n, 0) AS k2,
-        CASE WHEN length(a.g) = 3 THEN x3.big END AS n3, x3.kinds AS t3, coalesce(w3.n, 0) AS k3
-        FROM asked a CROSS JOIN langs l JOIN (SELECT lang, max(total) AS total FROM w1 GROUP BY lang) t ON t.lang = l.lang
-        LEFT JOIN w1 ON w1.lang = l.lang AND w1.g = substr(a.g, length(a.g), 1)
-        LEFT JOIN ctx2 x2 ON x2.lang = l.lang AND x2.ctx = substr(a.g, length(a.g) - 1, 1) AND length(a.g) >= 2
-        LEFT JOIN w2 ON w2.lang = l.lang AND w2.g = substr(a.g, length(a.g) - 1, 2) AND length(a.g) >= 2
-        LEFT JOIN ctx3 x3 ON x3.lang = l.lang AND x3.ctx = substr(a.g, 1, 2) AND length(a.g) = 3
-        LEFT JOIN w3 ON w3.lang = l.lang AND w3.g = a.g AND length(a.g) = 3""",
-    "scored": lambda d: """SELECT doc_id, truth, lang, sum(n) AS len, -sum(n * ln(CASE WHEN n3 IS NULL THEN q2 ELSE n3 / (n3 + t3) * (k3 / n3) + t3 / (n3 + t3) * q2 END)) / (sum(n) * ln(2e0)) AS bits
-        FROM (SELECT probs.*, CASE WHEN n2 IS NULL THEN p1 ELSE n2 / (n2 + t2) * (k2 / n2) + t2 / (n2 + t2) * p1 END AS q2 FROM probs) q GROUP BY doc_id, truth, lang""",
+    **{f"w{k}": (lambda d, k=k: f"SELECT lang, g, n, sum(n) OVER (PARTITION BY lang, substr(g, 1, {k - 1})) AS big, count(*) OVER (PARTITION BY lang, substr(g, 1, {k - 1})) AS kinds FROM c{k}") for k in range(2, 6)},
+    **{f"ctx{k}": (lambda d, k=k: f"SELECT DISTINCT lang, substr(g, 1, {k - 1}) AS ctx, big, kinds FROM w{k}") for k in range(2, 6)},
+    "scored": lambda d: "SELECT * FROM {scored_}" if d.name == "spark" else _scored_sql(d),
     "ranked": lambda d: """SELECT scored.*, row_number() OVER (PARTITION BY doc_id ORDER BY round(bits, 9), lang) AS place,
         lead(bits) OVER (PARTITION BY doc_id ORDER BY round(bits, 9), lang) AS next_bits FROM scored""",
     # Cells by key, the latest load wins.
     "cells": lambda d: f"""SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY instance, presentation, head, hypothesis, window_len ORDER BY loaded_at DESC, cell_id DESC) AS latest
         FROM {d.t('score_cells')} c WHERE instance IS NOT NULL AND presentation IS NOT NULL AND head IS NOT NULL AND hypothesis IS NOT NULL AND total_per_all_symbols IS NOT NULL) q WHERE latest = 1""",
     "kinds": lambda d: f"SELECT DISTINCT instance, substr(instance, 1, instr(instance, '_') - 1) AS kind FROM {d.t('score_cells')} WHERE instance IS NOT NULL",
+    # What the model of a language gains over single letters on held-out texts, with the error of the mean.
+    "calib": lambda d: "SELECT truth AS lang, count(*) AS n, avg(bits1 - bits) AS offset_bits, stddev_samp(bits1 - bits) / sqrt(CAST(count(*) AS DOUBLE)) AS offset_sem FROM scored WHERE lang = truth GROUP BY truth",
     "freq": lambda d: "SELECT transcription, word, count(*) AS n, min(spot) AS first_at, max(spot) AS last_at FROM seq GROUP BY transcription, word",
     "size": lambda d: "SELECT transcription, count(*) AS total FROM tok GROUP BY transcription",
     "pairs": lambda d: "SELECT * FROM (SELECT transcription, page_id, line, idx, hand, lang, word, lag(word) OVER (PARTITION BY transcription, page_id, line ORDER BY idx) AS before FROM tok) q WHERE before IS NOT NULL",

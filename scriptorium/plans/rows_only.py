@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import normalize as N
 from scriptorium.lineage import written
-from scriptorium.operators import noise, search
-from scriptorium.plans.portable import SPARK, TABLES, run, with_relations
-from scriptorium.plans.relations import RELATIONS
+from scriptorium.operators import decoding, letters, noise, search
+from scriptorium.plans.bound import bound_files
 from scriptorium.sources import files, ivtff
 from scriptorium.streaming import examples
 
@@ -20,8 +19,7 @@ def _t(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _rel(spark: SparkSession, folder: str, body: str) -> DataFrame:
-    sql = with_relations(SPARK, RELATIONS, body)
-    return run(spark, sql, **{t: _t(spark, folder, t) for t in TABLES if "{" + t + "}" in sql})
+    return bound_files(spark, body, folder)
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,7 +178,7 @@ def op219_alternating_search(spark, folder):
                     return key
 
                 start = search.frequency_key(grams.occ, lm)
-                key, _ = search.alternate(start, propose, lambda k, o=objective: search._climb(k, o(k), o)[0], objective, rounds=2)
+                key, _ = search.alternate(start, propose, lambda k, i=plain, m=lm: search._swapped(search.Incremental(i, k, m)).key, objective, rounds=2)
                 out.append((doc, lang, float((key[plain] != plain).mean())))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "ser"])
 
@@ -385,4 +383,106 @@ def op227_noise_profile(spark, folder):
     return grid.select("family", "severity", "lang", "text").mapInPandas(bits, "family string, severity double, bits double").groupBy("family", "severity").agg(F.avg("bits").alias("mean_bits"), F.count("*").alias("n"))
 
 
+def _models(spark, folder):
+    return search.dense_model(_counts(spark, folder))
+
+
+def _heldout(spark, folder):
+    return _rel(spark, folder, "SELECT doc_id, lang, s FROM parted WHERE part = 'heldout'")
+
+
+def op044_drop_rates(spark, folder):
+    c = F.col("c")
+    counted = _t(spark, folder, "documents").where("doc_id is not null").select("doc_id", N.normalization_counts("text").alias("c"))
+    rate = lambda part, of: F.round(F.when(of > 0, part / of).otherwise(0.0), 6)
+    latin = c["kept"] + c["dropped"]
+    return counted.select("doc_id", rate(c["dropped"], latin).alias("drop_rate"), rate(c["foreign"], latin + c["foreign"]).alias("foreign_rate"))
+
+
+def op136_error_spread(spark, folder):
+    return decoding.spread_of_errors(_heldout(spark, folder), _models(spark, folder))
+
+
+def op158_pair_swaps(spark, folder):
+    return decoding.proposed_swaps(_heldout(spark, folder), _models(spark, folder))
+
+
+def op134_symbol_support(spark, folder):
+    """Occurrence-weighted support of each symbol's own reading by the texts around it, per language."""
+    texts = _heldout(spark, folder)
+    own = op190_position_posterior(spark, folder).where("symbol = letter").join(texts.select("doc_id", "lang"), "doc_id")
+    return own.groupBy("lang", "symbol").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean_log")) / F.sum("n")).alias("support"))
+
+
+def op160_shared_sensitivity(spark, folder):
+    return decoding.sensitivities(_heldout(spark, folder), _models(spark, folder)).groupBy("doc_id", "symbol").agg(F.min("loss").alias("least"))
+
+
+def op190_position_posterior(spark, folder):
+    return decoding.posterior_table(_heldout(spark, folder), _models(spark, folder))
+
+
+def op195_sensitivity(spark, folder):
+    return decoding.sensitivities(_heldout(spark, folder), _models(spark, folder))
+
+
+def op218_race_polish(spark, folder):
+    return decoding.raced(_heldout(spark, folder), _models(spark, folder))
+
+
+def op177_order_null_moments(spark, folder, reps: int = 2000):
+    pages = _rel(spark, folder, "SELECT transcription, page_id FROM pg").groupBy("transcription").agg(F.array_sort(F.collect_set("page_id")).alias("pages"))
+    pairs = _rel(spark, folder, "SELECT r.transcription, r.page_a, r.page_b, count(*) AS n FROM pairsrare r JOIN pg a ON a.page_id = r.page_a AND a.transcription = r.transcription JOIN pg b ON b.page_id = r.page_b AND b.transcription = r.transcription WHERE r.page_a <> r.page_b GROUP BY r.transcription, r.page_a, r.page_b")
+    pairs = pairs.groupBy("transcription").agg(F.collect_list(F.struct("page_a", "page_b", "n")).alias("p"))
+    pairs = pairs.select("transcription", F.col("p.page_a").alias("a"), F.col("p.page_b").alias("b"), F.col("p.n").alias("n"))
+    cost = decoding.order_nulls(pages.join(pairs, "transcription"), reps)
+    null = F.when(F.col("rep") > 0, F.col("cost"))
+    seen = cost.withColumn("observed", F.max(F.when(F.col("rep") == 0, F.col("cost"))).over(W.partitionBy("transcription")))
+    lower = F.sum(F.when((F.col("rep") > 0) & (F.col("cost") <= F.col("observed") + 1e-9), 1).otherwise(0))
+    out = seen.groupBy("transcription").agg(F.max("observed").alias("observed"), F.count(null).alias("n"), F.avg(null).alias("mean"), F.stddev_pop(null).alias("sd"), F.skewness(null).alias("skew"), F.kurtosis(null).alias("kurtosis"), lower.alias("lower"))
+    return out.withColumn("gain_sd", F.when(F.col("sd") > 0, (F.col("mean") - F.col("observed")) / F.col("sd"))).withColumn("p", (F.col("lower") + 1) / (F.col("n") + 1)).drop("lower")
+
+
+def op087_column_cipher(spark, folder):
+    return letters.hashed_texts(_rel(spark, folder, "SELECT doc_id, s FROM plain WHERE length(s) > 0"), letters.columned, "cipher_sha", "n")
+
+
+def op200_substitution_noise(spark, folder):
+    return letters.hashed_texts(_rel(spark, folder, "SELECT doc_id, s FROM plain WHERE length(s) > 0"), letters.substituted, "noised_sha", "changed")
+
+
+def op202_transcription_noise(spark, folder):
+    return letters.hashed_texts(_rel(spark, folder, "SELECT doc_id, s FROM plain WHERE length(s) > 0"), letters.misread, "noised_sha", "events")
+
+
+_L = letters.LETTERS
+
+
+def _at(i: str) -> str:
+    return f"substr('{_L}', CAST({i} AS INTEGER) + 1, 1)"
+
+
+def _op087(d):
+    return f"SELECT doc_id, {d.sha256(d.glue(_at(f'(instr(' + chr(39) + _L + chr(39) + ', g) - 1 + (pos % 24) * 7) % 25'), '', 'pos'))} AS cipher_sha, count(*) AS n FROM plain{d.grams('s', 1, 'pos', 'g')} GROUP BY doc_id"
+
+
+def _op200(d):
+    u = letters.uniform_sql
+    return f"""WITH ch AS (SELECT doc_id, pos, instr('{_L}', g) - 1 AS x FROM plain{d.grams('s', 1, 'pos', 'g')}), f AS (SELECT doc_id, x, count(*) AS n FROM ch GROUP BY doc_id, x),
+        b AS (SELECT doc_id, x, n / sum(n) OVER (PARTITION BY doc_id) AS share, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY {u(1, 'doc_id', 'x')}, x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY doc_id) AS before FROM f),
+        k AS (SELECT doc_id, x, (x + 1 + CAST(floor({u(2, 'doc_id', 'x')} * 24) AS BIGINT)) % 25 AS y, least(1e0, 0.2e0 / sum(share) OVER (PARTITION BY doc_id)) AS chance FROM b WHERE round(before, 9) < 0.2e0),
+        o AS (SELECT c.doc_id, c.pos, c.x, CASE WHEN k.x IS NOT NULL AND {u(3, 'c.doc_id', 'c.pos')} < k.chance THEN k.y ELSE c.x END AS y FROM ch c LEFT JOIN k ON k.doc_id = c.doc_id AND k.x = c.x)
+        SELECT doc_id, {d.sha256(d.glue(_at('y'), '', 'pos'))} AS noised_sha, count(*) FILTER (WHERE x <> y) AS changed FROM o GROUP BY doc_id"""
+
+
+def _op202(d):
+    u = letters.uniform_sql
+    piece = f"CASE WHEN u < 0.8e0 * 0.05e0 THEN {_at('floor(v * 25)')} WHEN u < 0.9e0 * 0.05e0 THEN '' WHEN u < 0.05e0 THEN g || {_at('floor(v * 25)')} ELSE g END"
+    return f"""SELECT doc_id, {d.sha256(d.glue(piece, '', 'pos'))} AS noised_sha, count(*) FILTER (WHERE u < 0.05e0) AS events
+        FROM (SELECT doc_id, pos, g, {u(4, 'doc_id', 'pos')} AS u, {u(5, 'doc_id', 'pos')} AS v FROM plain{d.grams('s', 1, 'pos', 'g')}) q GROUP BY doc_id"""
+
+
+#: Statements for DuckDB of queries that Spark answers by a pass over the texts.
+ORACLES = {"op087_column_cipher": _op087, "op200_substitution_noise": _op200, "op202_transcription_noise": _op202}
+
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("op")}

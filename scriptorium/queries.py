@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.lineage import spread
 from scriptorium.operators import corpus, forensics, judging, resampling
 from scriptorium.plans import rows_only
-from scriptorium.plans.portable import DUCK, SPARK, TABLES, run, with_relations
+from scriptorium.plans.bound import bound, bound_files
+from scriptorium.plans.portable import DUCK, SPARK, with_relations
 from scriptorium.plans.relations import RELATIONS
 
 STATEMENTS = {**corpus.OPS, **forensics.OPS, **judging.OPS, **resampling.OPS}
@@ -17,19 +17,15 @@ STATEMENTS = {**corpus.OPS, **forensics.OPS, **judging.OPS, **resampling.OPS}
 
 def operator(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
     """The operator of that name over the given tables (documents, folio_tokens, ...)."""
-    return run(spark, with_relations(SPARK, RELATIONS, STATEMENTS[name](SPARK)), **tables)
+    return bound(spark, STATEMENTS[name](SPARK), **tables)
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        sql = with_relations(SPARK, RELATIONS, STATEMENTS[name](SPARK))
-        tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
-        if "documents" in tables:  # few and long rows: spread before they are exploded
-            tables["documents"] = spread(tables["documents"])
-        return run(spark, sql, **tables)
+        return bound_files(spark, STATEMENTS[name](SPARK), folder)
 
     return query
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(name) for name in STATEMENTS} | rows_only.QUERIES
-ORACLE = {name: with_relations(DUCK, RELATIONS, statement(DUCK)) for name, statement in STATEMENTS.items()}
+ORACLE = {name: with_relations(DUCK, RELATIONS, statement(DUCK)) for name, statement in (STATEMENTS | rows_only.ORACLES).items()}

@@ -39,8 +39,7 @@ def test_statement_on_both_engines(spark, duck, name):
     columns = [x[0] for x in other.description]
     assert sorted(df.columns) == sorted(columns)
     mine, theirs = _shape([tuple(r) for r in df.collect()], df.columns), _shape(other.fetchall(), columns)
-    near = sum(x != y for x, y in zip(mine, theirs))
-    assert len(mine) == len(theirs) and near <= len(mine) // 200 + (0 if len(mine) < 5 else 1)
+    assert mine == theirs
 
 
 def tokens(spark, rows):
@@ -122,17 +121,17 @@ def test_statements_on_empty_and_null_tables(spark):
 # ---- normaliser, literal cases
 @pytest.mark.parametrize(
     "text, letters",
-    [("Gallia est OMNIS divisa", "galliaestomnisdivisa"), ("a b\tc\nd e f", "abcdef"), ("Jam iuvat Justitia", "iamiuvatiustitia"), ("überflüßig", "uberflussig"), ("cæsar œuvre", "caesaroeuvre"), ("señor àéîõû", "senoraeiou"), ("anno 1404, cap. VII: αβγ", "annocapvii"), ("", "")],
+    [("Arma VIRUMQUE cano", "armavirumquecano"), ("u v\tx\ny z", "uvxyz"), ("Major Julius", "maioriulius"), ("Größe, Würde", "grossewurde"), ("præmium cœlum", "praemiumcoelum"), ("città più perché", "cittapiuperche"), ("fol. 37, l. IX: λόγος", "follix"), ("", "")],
 )
 def test_normalize_literals(text, letters):
     assert fold_text(text)[0] == letters and fold_text(letters)[0] == letters
 
 
 def test_normalize_counts(spark):
-    c = fold_text("anno 1404, cap. VII: αβγ")[1]
-    assert (c["foreign"], c["punct_digit"], c["dropped"]) == (3, 7, 0)
-    c = fold_text("abc αβγ ƕ")[1]
-    assert c["dropped"] / (c["kept"] + c["dropped"]) == 0.25 and c["foreign"] / (c["kept"] + c["dropped"] + c["foreign"]) == 3 / 7
+    c = fold_text("fol. 37, l. IX: δεκα")[1]
+    assert (c["foreign"], c["punct_digit"], c["dropped"]) == (4, 6, 0)
+    c = fold_text("xyz δε ƕ")[1]
+    assert (c["kept"], c["dropped"], c["foreign"]) == (3, 1, 2)
     assert fold_text("ß")[1]["kept"] == 2
     df = spark.createDataFrame([(1, "Straße"), (2, None)], "k int, text string")
     got = {r["k"]: (r["n"], r["c"]["kept"]) for r in df.select("k", normalized("text").alias("n"), normalization_counts("text").alias("c")).collect()}
