@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.lineage import forget, written
 from scriptorium.llm.group_pairs import pairs_within
+from scriptorium.plans.relations import LABELS
 
 # Words that stand for an unknown author.
 UNKNOWN_AUTHORS = ("_", "anon", "anonymous", "anonymus", "anonimo", "anonyme", "ignoto", "ignotus", "incerti auctoris", "incertus", "n n", "nn", "sans nom", "senza nome", "unbekannt", "unknown", "inconnu", "sconosciuto")
@@ -227,15 +228,11 @@ def tied_pairs(doc_records: DataFrame, forename_forms: DataFrame) -> DataFrame:
     return pairs_within(groups, "grp", "rec").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
-# Spellings of the four languages.
-_LANGUAGES = {"latin": ("la", "lat", "latin", "latino", "latein"), "italian": ("it", "ita", "itit", "italian", "italiano"), "german": ("de", "deu", "ger", "dede", "german", "deutsch"), "french": ("fr", "fra", "fre", "frfr", "french", "francais")}
-
-
 def plain_language(label):
     """latin, italian, german or french for any spelling of a label, else null."""
     bare = F.regexp_replace(F.lower(label), "[^a-z]", "")
     out = F.lit(None).cast("string")
-    for language, spellings in _LANGUAGES.items():
+    for language, spellings in LABELS.items():
         out = F.when(bare.isin(*spellings), language).otherwise(out)
     return out
 
