@@ -30,16 +30,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder; what is written there is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/scriptorium/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written table.
 
     The table is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/scriptorium/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path
     return table

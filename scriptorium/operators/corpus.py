@@ -5,7 +5,7 @@ from __future__ import annotations
 from scriptorium.plans.portable import entropy
 
 # Share of training mass, floors of the split and the manifest.
-QUOTA, CAP_FACTOR, CAP_FLOOR, LOW_RESOURCE = 20000, 1.5, 6000, 2000000
+QUOTA, CAP_FACTOR, CAP_FLOOR, LEAST_QUOTA, LOW_RESOURCE = 500_000, 1.5, 60_000, 200_000, 2_000_000
 LETTERS = "abcdefghiklmnopqrstuvwxyz"
 B = "CAST({} AS BIGINT)".format
 
@@ -84,7 +84,10 @@ OPS = {
     "op148_temperature_weights": lambda d: "SELECT lang, round(pow(n, 0.7e0) / sum(pow(n, 0.7e0)) OVER (), 6) AS weight FROM (SELECT lang, CAST(sum(length(s)) AS DOUBLE) AS n FROM plain WHERE lang IS NOT NULL GROUP BY lang) q",
     "op149_greedy_quota": lambda d: f"""WITH t AS (SELECT plain.*, CAST(length(s) AS DOUBLE) AS n, sum(CAST(length(s) AS DOUBLE)) OVER (PARTITION BY lang) AS total, sum(CAST(length(s) AS DOUBLE)) OVER (PARTITION BY lang, source) AS dom, md5(concat_ws('|', '20260818', CAST(doc_id AS STRING))) AS h FROM plain WHERE lang IS NOT NULL AND source IS NOT NULL),
         q AS (SELECT t.*, {QUOTA}e0 * dom / total AS quota FROM t), c AS (SELECT * FROM q WHERE n <= greatest({CAP_FACTOR}e0 * quota, {CAP_FLOOR}e0)),
-        r AS (SELECT c.*, coalesce(sum(n) OVER (PARTITION BY lang, source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM c) SELECT lang, source, doc_id FROM r WHERE before < quota""",
+        r AS (SELECT c.*, coalesce(sum(n) OVER (PARTITION BY lang, source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM c),
+        picked AS (SELECT lang, source, doc_id, n FROM r WHERE before < quota), got AS (SELECT l.lang, coalesce(sum(p.n), 0e0) AS n FROM (SELECT DISTINCT lang FROM t) l LEFT JOIN picked p ON p.lang = l.lang GROUP BY l.lang),
+        rest AS (SELECT t.lang, t.source, t.doc_id, g.n AS got, coalesce(sum(t.n) OVER (PARTITION BY t.lang ORDER BY t.n, t.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before FROM t JOIN got g ON g.lang = t.lang LEFT JOIN picked p ON p.doc_id = t.doc_id WHERE p.doc_id IS NULL AND g.n < {LEAST_QUOTA}e0)
+        SELECT lang, source, doc_id, 'quota' AS why FROM picked UNION ALL SELECT lang, source, doc_id, 'floor' AS why FROM rest WHERE got + before < {LEAST_QUOTA}e0""",
     "op155_symbols_by_count": lambda d: f"SELECT transcription, ch, n, CAST(row_number() OVER (PARTITION BY transcription ORDER BY n DESC, ch) AS INTEGER) AS place FROM (SELECT transcription, g AS ch, count(*) AS n FROM tok{d.grams('word', 1, 'pos', 'g')} GROUP BY transcription, g) q",
     "op156_coverage_mask": lambda d: f"SELECT transcription, ch FROM (SELECT q.*, coalesce(sum(n) OVER (PARTITION BY transcription ORDER BY n DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY transcription) AS total FROM (SELECT transcription, g AS ch, count(*) AS n FROM tok{d.grams('word', 1, 'pos', 'g')} GROUP BY transcription, g) q) r WHERE before < 0.8e0 * total",
     "op221_pooled_counts": lambda d: "SELECT g, round(sum(n * least_total / total), 4) AS n FROM (SELECT c.g, c.n, t.total, min(t.total) OVER () AS least_total FROM c2 c JOIN (SELECT lang, CAST(sum(n) AS DOUBLE) AS total FROM c1 GROUP BY lang) t ON t.lang = c.lang) q GROUP BY g",

@@ -116,24 +116,40 @@ def noise_grid(texts: DataFrame, grid: dict[str, list[float]], seed: int = 0) ->
     return out
 
 
-def control_battery(texts: DataFrame, seed: int = 0) -> DataFrame:
-    """(control, doc_id, text, truth): positive, shuffled and gibberish controls of the same texts with their truth."""
-    from pyspark.sql import functions as F
-
-    def make(kind: str) -> DataFrame:
-        def run(batches):
-            for pdf in batches:
-                out = []
-                for doc, s in zip(pdf["doc_id"], pdf["s"]):
-                    ids, rng = encode(s or ""), _rng(seed, doc)
-                    key = rng.permutation(A)
-                    ids = key[ids] if kind == "positive" else rng.permutation(ids) if kind == "shuffled" else rng.integers(0, A, len(ids))
-                    out.append((kind, doc, decode(ids), s if kind == "positive" else None))
-                yield pd.DataFrame(out, columns=["control", "doc_id", "text", "truth"])
-
-        return texts.select("doc_id", "s").mapInPandas(run, "control string, doc_id long, text string, truth string")
-
-    return make("positive").unionByName(make("shuffled")).unionByName(make("gibberish"))
+def codex_like(ids: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A verbose encryption that reads like a codex: each letter becomes one of three groups of two or three of 14 glyphs.
+
+    A group opens with one of four glyphs and goes on with the other ten, so the stream
+    has the low entropy and the repeats of such transcriptions and no letter statistics.
+    """
+    groups = [[np.concatenate([rng.integers(0, 4, 1), 4 + rng.integers(0, 10, rng.integers(1, 3))]) for _ in range(3)] for _ in range(A)]
+    choice = rng.integers(0, 3, len(ids))
+    return np.concatenate([groups[x][c] for x, c in zip(ids, choice)]) if len(ids) else np.zeros(0, np.int64)
+
+
+CONTROLS = ("positive", "shuffled", "gibberish", "codex_like", "contamination")
+
+
+def control_battery(texts: DataFrame, seed: int = 0, outside: tuple[str, ...] = ("french",)) -> DataFrame:
+    """(control, doc_id, text, truth): controls of the same texts (doc_id, lang, s) with their truth where there is one.
+
+    ``outside`` names the languages that a search does not know: their enciphered texts
+    are contamination, those of the others positives.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for doc, lang, s in zip(pdf["doc_id"], pdf["lang"], pdf["s"]):
+                ids, rng = encode(s or ""), _rng(seed, doc)
+                kind = "contamination" if lang in outside else "positive"
+                out.append((kind, doc, decode(rng.permutation(A)[ids]), s))
+                out.append(("shuffled", doc, decode(rng.permutation(ids)), None))
+                out.append(("gibberish", doc, decode(rng.integers(0, A, len(ids))), None))
+                out.append(("codex_like", doc, decode(codex_like(ids, rng)), None))
+            yield pd.DataFrame(out, columns=["control", "doc_id", "text", "truth"])
+
+    return texts.select("doc_id", "lang", "s").mapInPandas(run, "control string, doc_id long, text string, truth string")
 
 
 def sticky(tokens: DataFrame, share: float, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import normalize as N
-from scriptorium.lineage import written
+from scriptorium.lineage import shared_path, written
 from scriptorium.operators import decoding, letters, noise, search
 from scriptorium.plans.bound import bound_files
 from scriptorium.sources import files, ivtff
@@ -54,8 +54,16 @@ def op009_ivtff_paragraphs(spark, folder):
     return loci.groupBy("file", "page", "par").agg(F.count("*").alias("lines"))
 
 
+def _sunk(df, write, label: str, *more):
+    """What a sink wrote, read back."""
+    path = shared_path(df.sparkSession, label)
+    write(df, path, *more)
+    return path
+
+
 def op027_document_sink(spark, folder):
-    return written(_rel(spark, folder, "SELECT lang AS language, doc_id, s FROM plain WHERE lang IS NOT NULL AND length(s) > 0"), "documents").groupBy("language").count()
+    path = _sunk(_rel(spark, folder, "SELECT lang AS language, doc_id, s FROM plain WHERE lang IS NOT NULL AND length(s) > 0"), files.write_documents, "documents")
+    return spark.read.parquet(path).groupBy("language").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("letters"))
 
 
 def op066_lexical_coverage(spark, folder):
@@ -66,9 +74,13 @@ def op066_lexical_coverage(spark, folder):
     return search.lexical_margins(texts, lexicon)
 
 
+def _placed(spark, folder):
+    texts, line = examples.placed_texts(_rel(spark, folder, "SELECT doc_id, lang, s FROM parted"))
+    return written(texts, "placed"), written(line, "line")
+
+
 def op069_random_windows(spark, folder):
-    tiles = examples.numbered_windows(_rel(spark, folder, "SELECT doc_id, lang, s FROM parted"), 200)
-    return examples.examples(spark.range(200).withColumnRenamed("id", "value"), written(tiles, "tiles")).select("value", "lang", "k", F.length("s").alias("n"))
+    return examples.random_windows(spark.range(2000).withColumnRenamed("id", "value"), *_placed(spark, folder), 200)
 
 
 def op170_cross_validation(spark, folder):
@@ -104,7 +116,7 @@ def op208_sticky_repeats(spark, folder):
 
 
 def op210_control_battery(spark, folder):
-    return noise.control_battery(_rel(spark, folder, "SELECT doc_id, s FROM parted WHERE part = 'heldout'"))
+    return noise.control_battery(_rel(spark, folder, "SELECT doc_id, lang, s FROM parted WHERE part = 'heldout'"))
 
 
 def _instance_texts(spark, folder):
@@ -144,13 +156,19 @@ def op193_segment_viterbi(spark, folder):
     return _rel(spark, folder, "SELECT doc_id, lang, s FROM parted WHERE part = 'heldout'").repartition(16).mapInPandas(decode, "doc_id long, score double, n long")
 
 
+def _numbers(spark, n: int):
+    """A stream of the numbers below n, from a written table."""
+    path = shared_path(spark, "numbers")
+    spark.range(n).withColumnRenamed("id", "value").write.parquet(path)
+    return spark.readStream.schema("value long").parquet(path)
+
+
 def op244_example_stream(spark, folder):
-    tiles = written(examples.numbered_windows(_rel(spark, folder, "SELECT doc_id, lang, s FROM parted"), 200), "tiles")
-    return examples.examples(spark.range(64).withColumnRenamed("id", "value"), tiles)
+    return examples.drained(examples.examples(_numbers(spark, 640), *_placed(spark, folder)), "examples")
 
 
 def op245_example_batches(spark, folder):
-    return examples.batches(op244_example_stream(spark, folder))
+    return examples.batches(examples.drained(examples.examples(_numbers(spark, 640), *_placed(spark, folder)), "examples"))
 
 
 def op223_planted_swap_search(spark, folder):
@@ -204,7 +222,7 @@ def op192_soft_score(spark, folder):
 
 def op031_presentation_sink(spark, folder):
     rows = _rel(spark, folder, "SELECT transcription, 'words' AS kind, word AS symbol FROM tok UNION ALL SELECT transcription, 'initials' AS kind, substr(word, 1, 1) AS symbol FROM tok")
-    return written(rows, "presentations").groupBy("transcription", "kind").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
+    return spark.read.parquet(_sunk(rows, files.write_presentations, "presentations")).groupBy("transcription", "kind").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("symbols"))
 
 
 def op247_scorers(spark, folder):
@@ -291,11 +309,15 @@ def op022_instances(spark, folder):
 
 
 def op030_dialect_sink(spark, folder):
-    return written(_rel(spark, folder, "SELECT transcription, coalesce(lang, 'none') AS dialect, word FROM tok"), "dialects").groupBy("dialect").count()
+    path = _sunk(_rel(spark, folder, "SELECT transcription, coalesce(lang, 'none') AS dialect, page_id, line, idx, word FROM tok"), files.write_dialects, "dialects")
+    lines = spark.read.text(path).select("transcription", "dialect", F.split("value", "[.]").alias("words"))
+    return lines.groupBy("transcription", "dialect").agg(F.count("*").alias("n_lines"), F.sum(F.size("words")).alias("n_words"))
 
 
 def op036_sequence_pool(spark, folder):
-    return written(op210_control_battery(spark, folder).where("control = 'gibberish'").select("doc_id", F.split("text", "").alias("letters")), "pool").select("doc_id", F.size("letters").alias("n"))
+    made = op210_control_battery(spark, folder).where("control = 'codex_like'").select("doc_id", "text")
+    pool = spark.read.parquet(_sunk(made, files.write_pool, "pool", {"generator": "codex_like", "seed": "0"}))
+    return pool.select("doc_id", F.size("ids").alias("n"), F.array_min("ids").alias("least"), F.array_max("ids").alias("most"), F.col("build")["generator"].alias("generator"))
 
 
 def op067_lexical_margin(spark, folder):
@@ -483,6 +505,11 @@ def _op202(d):
 
 
 #: Statements for DuckDB of queries that Spark answers by a pass over the texts.
-ORACLES = {"op087_column_cipher": _op087, "op200_substitution_noise": _op200, "op202_transcription_noise": _op202}
+ORACLES = {
+    "op027_document_sink": lambda d: "SELECT lang AS language, count(*) AS n, sum(length(s)) AS letters FROM plain WHERE lang IS NOT NULL AND length(s) > 0 GROUP BY lang",
+    "op030_dialect_sink": lambda d: "SELECT transcription, coalesce(lang, 'none') AS dialect, count(DISTINCT (page_id, line)) AS n_lines, count(*) AS n_words FROM tok GROUP BY transcription, coalesce(lang, 'none')",
+    "op031_presentation_sink": lambda d: "SELECT transcription, 'words' AS kind, count(*) AS n, count(DISTINCT word) AS symbols FROM tok GROUP BY transcription UNION ALL SELECT transcription, 'initials', count(*), count(DISTINCT substr(word, 1, 1)) FROM tok GROUP BY transcription",
+    "op087_column_cipher": _op087, "op200_substitution_noise": _op200, "op202_transcription_noise": _op202,
+}
 
 QUERIES = {name: f for name, f in dict(globals()).items() if name.startswith("op")}
