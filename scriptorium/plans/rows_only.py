@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import normalize as N
 from scriptorium.lineage import shared_path, written
-from scriptorium.operators import decoding, letters, noise, search
+from scriptorium.operators import decoding, heads, letters, noise, search
 from scriptorium.plans.bound import bound_files
 from scriptorium.sources import files, ivtff
 from scriptorium.streaming import examples
@@ -128,7 +128,7 @@ def op213_substitution_search(spark, folder):
 
 
 def op214_homophonic_search(spark, folder):
-    return search.solve_texts(_instance_texts(spark, folder), _counts(spark, folder), homophones=40)
+    return search.solve_texts(_instance_texts(spark, folder), _counts(spark, folder), homophones=40, starts=2)
 
 
 def op193_segment_viterbi(spark, folder):
@@ -367,20 +367,20 @@ def op212_own_bits_filter(spark, folder):
 
 
 def op217_word_homophonic_search(spark, folder):
+    """Every transcription's words as symbols, all types, under every language."""
     import numpy as np
     import pandas as pd
 
-    models = search.dense_model(_counts(spark, folder))
+    models = _models(spark, folder)
 
-    def solve(pdf):
+    def solve(key_, pdf):
         pdf = pdf.sort_values("spot")
         ids = pd.factorize(pdf["word"])[0]
-        lm = models["latin"]
-        key, value = search.solve_homophonic(ids, int(ids.max()) + 1, lm, 0, steps=1500, extra=search.repeat_rule(ids))
-        return pd.DataFrame({"transcription": [pdf["transcription"].iloc[0]], "types": [int(ids.max()) + 1], "bits": [-value / (len(ids) * np.log(2))]})
+        _, value = search.solve_homophonic(ids, int(ids.max()) + 1, models[key_[1]], 0, steps=6000, extra=search.repeat_rule(ids), starts=1)
+        return pd.DataFrame({"transcription": [key_[0]], "hypothesis": [key_[1]], "types": [int(ids.max()) + 1], "n": [len(ids)], "bits": [-value / (len(ids) * np.log(2))]})
 
-    common = _rel(spark, folder, "SELECT s.transcription, s.spot, s.word FROM seq s JOIN (SELECT transcription, word FROM (SELECT transcription, word, row_number() OVER (PARTITION BY transcription ORDER BY n DESC, first_at) AS k FROM freq) q WHERE k <= 60) t ON t.transcription = s.transcription AND t.word = s.word")
-    return common.groupBy("transcription").applyInPandas(solve, "transcription string, types long, bits double")
+    jobs = _rel(spark, folder, "SELECT transcription, spot, word FROM seq").withColumn("hypothesis", F.explode(F.array(*map(F.lit, sorted(models)))))
+    return jobs.groupBy("transcription", "hypothesis").applyInPandas(solve, "transcription string, hypothesis string, types long, n long, bits double")
 
 
 def op220_open_jobs(spark, folder):
@@ -448,6 +448,14 @@ def op195_sensitivity(spark, folder):
     return decoding.sensitivities(_heldout(spark, folder), _models(spark, folder))
 
 
+def op215_mixed_search(spark, folder):
+    return heads.mixed_searches(_heldout(spark, folder), _models(spark, folder))
+
+
+def op216_sum_search(spark, folder):
+    return heads.sum_searches(_heldout(spark, folder), _models(spark, folder), splits=(2,))
+
+
 def op218_race_polish(spark, folder):
     return decoding.raced(_heldout(spark, folder), _models(spark, folder))
 
