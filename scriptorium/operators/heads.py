@@ -250,6 +250,7 @@ def sum_searches(texts: DataFrame, models: dict, splits: tuple[int, ...] = (2, 1
         got = solve_sums(stream, models[lang], doc, splits)
         if "letters" not in got:
             return float("nan"), 1.0, 0.0
-        return -got["score"] / (len(ids) * np.log(2)), search.edit_distance(got["letters"], ids) / len(ids), float((got["values"] == values).mean())
+        read = search._Trigrams(got["letters"], A).score(np.arange(A), models[lang])
+        return -read / (len(got["letters"]) * np.log(2)), search.edit_distance(got["letters"], ids) / len(ids), float((got["values"] == values).mean())
 
     return _over_texts(texts, solve)

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import normalize as N
+from scriptorium.functions import tables
 from scriptorium.lineage import shared_path, written
-from scriptorium.operators import decoding, heads, letters, noise, search
+from scriptorium.operators import decoding, heads, letters, mechanisms, noise, search
 from scriptorium.plans.bound import bound_files
 from scriptorium.sources import files, ivtff
 from scriptorium.streaming import examples
@@ -456,6 +457,16 @@ def op216_sum_search(spark, folder):
     return heads.sum_searches(_heldout(spark, folder), _models(spark, folder), splits=(2,))
 
 
+def op249_mechanisms(spark, folder):
+    return mechanisms.compared(_heldout(spark, folder), _models(spark, folder))
+
+
+def op251_table_function(spark, folder):
+    tables.register(spark)
+    sizes = _rel(spark, folder, "SELECT doc_id, length(s) AS n FROM plain")
+    return spark.sql("SELECT t.doc_id, w.no, w.start, w.stop FROM {sizes} t, LATERAL text_windows(t.n, 200, 4) w", sizes=sizes)
+
+
 def op218_race_polish(spark, folder):
     return decoding.raced(_heldout(spark, folder), _models(spark, folder))
 
@@ -514,6 +525,8 @@ def _op202(d):
 
 #: Statements for DuckDB of queries that Spark answers by a pass over the texts.
 ORACLES = {
+    "op251_table_function": lambda d: f"""SELECT doc_id, CAST(no AS INTEGER) AS no, CAST(CASE WHEN c = 1 THEN 0 ELSE round_even(CAST(no * (n - 200) AS DOUBLE) / (c - 1), 0) END AS INTEGER) AS start, CAST(CASE WHEN c = 1 THEN 0 ELSE round_even(CAST(no * (n - 200) AS DOUBLE) / (c - 1), 0) END + 200 AS INTEGER) AS stop
+        FROM (SELECT doc_id, length(s) AS n, least(4, length(s) // 200) AS c FROM plain) p{d.each('no', '0', 'c - 1')} WHERE no <= c - 1""",
     "op027_document_sink": lambda d: "SELECT lang AS language, count(*) AS n, sum(length(s)) AS letters FROM plain WHERE lang IS NOT NULL AND length(s) > 0 GROUP BY lang",
     "op030_dialect_sink": lambda d: "SELECT transcription, coalesce(lang, 'none') AS dialect, count(DISTINCT (page_id, line)) AS n_lines, count(*) AS n_words FROM tok GROUP BY transcription, coalesce(lang, 'none')",
     "op031_presentation_sink": lambda d: "SELECT transcription, 'words' AS kind, count(*) AS n, count(DISTINCT word) AS symbols FROM tok GROUP BY transcription UNION ALL SELECT transcription, 'initials', count(*), count(DISTINCT substr(word, 1, 1)) FROM tok GROUP BY transcription",

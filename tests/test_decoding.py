@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scriptorium import queries
-from scriptorium.operators import decoding, letters, ngrams, noise, search
+from scriptorium.operators import decoding, letters, mechanisms, ngrams, noise, search
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -143,6 +143,17 @@ def test_race_polish():
     assert (out == key).all() and not about["accepted"]
 
 
+def test_mechanisms(spark):
+    lm = toy_model(7)
+    text = search.decode(stream(lm, 500))
+    got = {r["mechanism"]: r for r in mechanisms.compared(spark.createDataFrame([(3, "x", text)], "doc_id long, lang string, s string"), {"x": lm}).collect()}
+    assert set(got) == set(mechanisms.PROPOSERS) and got["none"]["ser"] == got["none"]["ser_before"] > 0
+    assert got["pair_swap"]["ser"] == got["race"]["ser"] == 0
+    assert all(r["ser"] <= r["ser_before"] for n, r in got.items() if n in ("pair_swap", "race", "posterior"))
+    with pytest.raises(ValueError):
+        mechanisms.proposer("race")(lambda *x: x[0])
+
+
 def test_error_spread():
     even, block = np.tile([1, 0, 0, 0, 0], 40), np.repeat([1, 0, 0, 0, 0], 40)
     a, b = decoding.error_spread(even), decoding.error_spread(block)
