@@ -279,3 +279,15 @@ def test_shortlist_keeps_the_best_of_equal_decodes(spark):
     text = {i: t for i, t, *_ in texts}
     for found in by.values():
         assert len({text[r["doc_id"]] for r in found}) == len(found) and [r["bits"] for r in sorted(found, key=lambda r: r["place"])] == sorted(r["bits"] for r in found)
+
+
+def test_race_without_a_move_is_not_confirmed():
+    judged = []
+
+    def judge(keys, first, last):
+        judged.append((first, last))
+        return np.tile((keys != np.arange(25)).sum(axis=1, keepdims=True).astype(float), last - first)
+
+    key, about = decoding.race_polish(np.arange(25), judge)
+    assert (key == np.arange(25)).all() and about["moves"] == 0 and not about["accepted"] and about["draws"] == judged[-1][1] + 64
+    assert all(last - first < 64 for first, last in judged)
